@@ -75,8 +75,9 @@ def _encode(rows: DataFrame, segments: list[Column], vocab: DataFrame | Spooled,
 
     marker = lambda m: F.array(F.lit(m))
     ids, kinds = marker(START), F.array_repeat(F.lit(0), 1)
+    ids_of = lambda s: F.transform(F.filter("_ids", lambda e: e["s"] == s), lambda e: e["id"])
     for s in range(len(segments)):
-        part = F.transform(F.filter("_ids", lambda e, s=s: e["s"] == s), lambda e: e["id"])
+        part = ids_of(s)
         ids = F.concat(ids, part, marker(SEPARATOR))
         kinds = F.concat(kinds, F.array_repeat(F.lit(s), F.size(part) + 1))
     pad = lambda col: F.concat(col, F.array_repeat(F.lit(PAD), max_length - F.size(col)))

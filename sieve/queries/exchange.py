@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,7 +74,14 @@ def article_xml(t: Tables) -> DataFrame:
         "<AbstractText>Second.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>",
         "pid", _escaped(F.col("title")), "lang", _escaped(F.col("abstract")),
     )
-    t.articles("lang").select(record).write.option("compression", "gzip").text(folder)
+
+    def one_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["<PubmedArticleSet>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</PubmedArticleSet>"]})
+
+    records = t.articles("lang").repartition(8, "pid").select(record.alias("value"))
+    records.mapInPandas(one_document, "value string").write.option("compression", "gzip").text(folder)
     compat = pubmed.read_articles(t.spark, folder, compat=True).withColumn("kind", F.lit("compat"))
     plain = pubmed.read_articles(t.spark, folder, stripped=True).withColumn("kind", F.lit("stripped"))
     return compat.union(plain).select("pid", "kind", "title", F.md5("abstract").alias("abstract_md5"))

@@ -91,7 +91,7 @@ def largest_vocabulary(t: Tables) -> DataFrame:
     return E.vocabulary(E.word_counts(t.articles(), "title", "abstract"), max_size=500)
 
 
-@query("pair_encoding", with_sql([ARTICLES_SQL, VOCABULARY_SQL, f"""lists AS (
+@query("pair_encoding", with_sql([ARTICLES_SQL, VOCABULARY_SQL, citations_sql(), f"""lists AS (
   SELECT topic_id, pid, relevance, {tokens_sql('lower(title)')} AS tt, {tokens_sql('lower(abstract)')} AS aa FROM citations),
 sizes AS (
   SELECT *, CASE WHEN len(tt) + len(aa) <= 347 THEN len(tt) ELSE least(len(tt), greatest(174, 347 - len(aa))) END AS kt FROM lists),
@@ -102,7 +102,7 @@ flat AS (
          generate_subscripts(list_concat(tt[1:kt], ['[SEP]'], aa[1:ka]), 1) AS i FROM cut),
 coded AS (
   SELECT topic_id, pid, list(CASE WHEN f.token = '[SEP]' THEN 3 ELSE coalesce(token_id, 1) END ORDER BY i) AS ids
-  FROM flat f LEFT JOIN vocabulary v ON f.token = v.token GROUP BY topic_id, pid)""", citations_sql()], """
+  FROM flat f LEFT JOIN vocabulary v ON f.token = v.token GROUP BY topic_id, pid)"""], """
 SELECT c.topic_id, c.pid, CAST(relevance AS FLOAT) AS label,
        array_to_string(list_concat([2], ids, [3], list_transform(range(347 - kt - ka), lambda x: 0)), ',') AS input_ids,
        array_to_string(list_transform(range(350), lambda i: CASE WHEN i < kt + ka + 3 THEN 1 ELSE 0 END), ',') AS attention_mask,
