@@ -22,7 +22,7 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def ceil_share(total: Column, percent: int) -> Column:
     """ceil(total * percent / 100) in whole numbers."""
-    return F.floor((total * percent + 99) / 100).cast("bigint")
+    return F.call_function("div", total * percent + 99, F.lit(100))
 
 
 def as_double(x: Column, default: float = 0.0) -> Column:

@@ -33,7 +33,7 @@ WEIGHT_DIGITS = 6
 @dataclass(frozen=True)
 class TokenModel:
     weights: Spooled  # topic_id, token, weight, n (occurrences in training)
-    priors: Spooled  # topic_id, prior
+    priors: DataFrame  # topic_id, prior; one row per topic
 
 
 def train_token_model(train: DataFrame, fields: Sequence[str] = ("title", "abstract"),
@@ -63,7 +63,7 @@ def train_token_model(train: DataFrame, fields: Sequence[str] = ("title", "abstr
         F.round(odds, WEIGHT_DIGITS).alias("weight"),
         (F.col("c_pos") + F.col("c_neg")).alias("n"),
     )
-    return TokenModel(Spooled(weights, counts.path, counts.bytes), spool(priors, "priors"))
+    return TokenModel(Spooled(weights, counts.path, counts.bytes), priors)
 
 
 def weigh(tokens: DataFrame, model: TokenModel, key: Column | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def save_model(model: TokenModel, path: str) -> None:
     model.weights.df.hint("rebalance", "topic_id").write.mode("overwrite").partitionBy("topic_id").parquet(
         f"{path}/weights"
     )
-    model.priors.df.write.mode("overwrite").parquet(f"{path}/priors")
+    model.priors.write.mode("overwrite").parquet(f"{path}/priors")
 
 
 def load_model(spark: SparkSession, path: str, topic: str | None = None) -> TokenModel:
@@ -125,10 +125,7 @@ def load_model(spark: SparkSession, path: str, topic: str | None = None) -> Toke
     if topic is not None:
         weights = weights.filter(F.col("topic_id") == topic)
         priors = priors.filter(F.col("topic_id") == topic)
-    size = lambda name: stored_bytes(spark, f"{path}/{name}")
-    return TokenModel(
-        Spooled(weights, f"{path}/weights", size("weights")), Spooled(priors, f"{path}/priors", size("priors"))
-    )
+    return TokenModel(Spooled(weights, f"{path}/weights", stored_bytes(spark, f"{path}/weights")), priors)
 
 
 def train_linear(train: DataFrame, text: str = "text", per_topic: bool = False, numeric: Sequence[str] = (),

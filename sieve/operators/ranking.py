@@ -7,7 +7,7 @@ under any partitioning, which ``rand(seed)`` does not give.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,58 +28,61 @@ def seeded_order(seed: int | str = SEED, id_col: str = "pid") -> Column:
 def quota_cut(
     ids: DataFrame,
     keys: Sequence[str],
-    quota_of: Callable[[DataFrame], DataFrame],
+    quotas: Callable[[DataFrame], DataFrame],
+    names: Sequence[str],
     seed: int | str = SEED,
     id_col: str = "pid",
 ) -> Spooled:
-    """The last order key that each group's quota lets in: keys, _cut.
+    """Per group, the last order key that each quota lets in: keys and one column per quota.
 
-    ``quota_of`` maps the group sizes (keys, n) to quotas (keys, quota). A histogram over the
-    leading digits of the order says in which bucket each quota ends, and only that bucket is
-    sorted. ``ids`` is read twice, for its keys and id alone.
+    A histogram over the leading digits of the order says in which bucket a quota ends, and only
+    that bucket is sorted. ``quotas`` adds the columns ``names`` to the histogram (keys, bucket,
+    n), which has at most 4 096 rows per group. ``ids`` is read twice, for its keys and id alone.
     """
     keys = list(keys)
     slim = ids.select(*keys, seeded_order(seed, id_col).alias("_order")).withColumn(
-        "_bucket", F.substring("_order", 1, _BUCKET_DIGITS)
+        "bucket", F.substring("_order", 1, _BUCKET_DIGITS)
     )
-    histogram = spool(slim.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")), "histogram").df
-    sizes = histogram.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    quota = quota_of(sizes).select(*keys, F.col("quota").cast("bigint").alias("_quota"))
-
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket"))
+    histogram = spool(slim.groupBy(*keys, "bucket").agg(F.count("*").alias("n")), "histogram").df
+    ends = [F.struct(F.lit(q).alias("_quota"), F.col(q).cast("bigint").alias("_want")) for q in names]
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
     edge = (
-        histogram.withColumn("_upto", upto)
-        .join(sizes, keys)
-        .join(quota, keys)
-        .withColumn("_want", F.least("_quota", "n"))
-        .filter((F.col("_want") > F.col("_upto") - F.col("_n")) & (F.col("_want") <= F.col("_upto")))
-        .select(*keys, "_bucket", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    at_edge = lookup(slim, edge, [*keys, "_bucket"], "inner", spread="_order")
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
-    cut = (
-        at_edge.withColumn("_position", position)
-        .filter(F.col("_position") == F.col("_need"))
-        .select(*keys, F.col("_order").alias("_cut"))
+        quotas(histogram.repartition(keys[0]))  # one shuffle serves every window below
+        .withColumn("_upto", upto)
+        .withColumn("_total", total)
+        .select(*keys, "bucket", "n", "_upto", "_total", F.inline(F.array(*ends)))
+        .withColumn("_want", F.least("_want", "_total"))
+        .filter((F.col("_want") > F.col("_upto") - F.col("n")) & (F.col("_want") <= F.col("_upto")))
+        .select(*keys, "bucket", "_quota", (F.col("_want") - F.col("_upto") + F.col("n")).alias("_need"))
     )
-    return spool(cut, "cut")
+    at_edge = lookup(slim, edge, [*keys, "bucket"], "inner", spread="_order")
+    position = F.row_number().over(Window.partitionBy(*keys, "_quota").orderBy("_order"))
+    last = at_edge.withColumn("_position", position).filter(F.col("_position") == F.col("_need"))
+    cuts = [F.max(F.when(F.col("_quota") == q, F.col("_order"))).alias(q) for q in names]
+    return spool(last.groupBy(*keys).agg(*cuts), "cut")
 
 
-def within_cut(
-    rows: DataFrame, cut: Spooled, keys: Sequence[str], seed: int | str = SEED, id_col: str = "pid"
+def flag_cuts(
+    rows: DataFrame, cut: Spooled, keys: Sequence[str], flags: Mapping[str, str], seed: int | str = SEED,
+    id_col: str = "pid",
 ) -> DataFrame:
-    """The rows that their group's cut lets in. They are not sorted and, while the groups are not
-    very many, not shuffled either."""
-    return flag_cut(rows, cut, keys, "_in", seed, id_col).filter("_in").drop("_in")
+    """Adds, for each quota of ``cut``, a flag that tells whether the row is within it.
+
+    The rows are not sorted and, while the groups are not very many, not shuffled either.
+    """
+    renamed = cut.df.select(*keys, *[F.col(q).alias(f"_cut_{q}") for q in flags])
+    marked = lookup(rows, Spooled(renamed, cut.path, cut.bytes), list(keys), "left", spread=id_col)
+    order = seeded_order(seed, id_col)
+    for quota, flag in flags.items():
+        marked = marked.withColumn(flag, F.coalesce(order <= F.col(f"_cut_{quota}"), F.lit(False)))
+    return marked.drop(*[f"_cut_{q}" for q in flags])
 
 
-def flag_cut(
-    rows: DataFrame, cut: Spooled, keys: Sequence[str], flag: str, seed: int | str = SEED, id_col: str = "pid"
+def within_cut(
+    rows: DataFrame, cut: Spooled, keys: Sequence[str], quota: str, seed: int | str = SEED, id_col: str = "pid"
 ) -> DataFrame:
-    """As ``within_cut``, but all rows stay and ``flag`` tells which are in."""
-    marked = lookup(rows, cut, list(keys), "left", spread=id_col)
-    inside = F.coalesce(seeded_order(seed, id_col) <= F.col("_cut"), F.lit(False))
-    return marked.withColumn(flag, inside).drop("_cut")
+    return flag_cuts(rows, cut, keys, {quota: "_in"}, seed, id_col).filter("_in").drop("_in")
 
 
 def ranked(

@@ -7,29 +7,47 @@ from pyspark.sql import functions as F
 
 from sieve.functions.numeric import ceil_share
 from sieve.operators.corpus import misfits
-from sieve.operators.ranking import SEED, flag_cut, quota_cut, ranked, seeded_order, within_cut
-from sieve.operators.spool import Spooled, spool
+from sieve.operators.ranking import SEED, flag_cuts, quota_cut, ranked, seeded_order, within_cut
+from sieve.operators.spool import spool
 
 
 CLASS = ["topic_id", "relevance"]
-SPLIT_SEED = f"{SEED}:split"
 
 
-def undersample_cut(ids: DataFrame, seed: int | str = SEED, strict: bool = False) -> Spooled:
-    """Where to cut each class of a topic so that both keep the size of the smaller one."""
+def _with_size(histogram: DataFrame) -> DataFrame:
+    return histogram.withColumn("size", F.sum("n").over(Window.partitionBy(*CLASS)))
 
-    def smaller_class(sizes: DataFrame) -> DataFrame:
-        n = F.col("n")
-        per_topic = sizes.groupBy("topic_id").agg(
-            F.coalesce(F.max(F.when(F.col("relevance") == 0, n)), F.lit(0)).alias("n_neg"),
-            F.coalesce(F.max(F.when(F.col("relevance") == 1, n)), F.lit(0)).alias("n_pos"),
-        )
-        if strict and per_topic.filter("n_neg < n_pos").limit(1).count():
-            raise ValueError("a topic has fewer irrelevant than relevant rows")
-        quota = per_topic.select("topic_id", F.least("n_neg", "n_pos").alias("quota"))
-        return sizes.join(quota, "topic_id").select(*CLASS, "quota")
 
-    return quota_cut(ids.filter(F.col("relevance").isin(0, 1)), CLASS, smaller_class, seed)
+def _keep_quota(sized: DataFrame, strict: bool) -> DataFrame:
+    """keep: the size of the topic's smaller class."""
+    of_class = lambda c: F.coalesce(
+        F.max(F.when(F.col("relevance") == c, F.col("size"))).over(Window.partitionBy("topic_id")), F.lit(0)
+    )
+    sized = sized.withColumn("n_neg", of_class(0)).withColumn("n_pos", of_class(1))
+    if strict and sized.filter("n_neg < n_pos").limit(1).count():
+        raise ValueError("a topic has fewer irrelevant than relevant rows")
+    return sized.withColumn("keep", F.least("n_neg", "n_pos")).withColumn("size", F.least("size", "keep"))
+
+
+def _test_quota(sized: DataFrame, percent: int) -> DataFrame:
+    """test: each class's share of ceil(N * percent / 100), by largest remainder."""
+    topic = Window.partitionBy("topic_id")
+    once = F.row_number().over(Window.partitionBy(*CLASS).orderBy("bucket")) == 1  # one row per class
+    per_class = lambda c: F.sum(F.when(F.col("_once"), F.col(c))).over(topic)
+    shares = (
+        sized.withColumn("_once", once)
+        .withColumn("_total", per_class("size"))
+        .withColumn("_n_test", ceil_share(F.col("_total"), percent))
+        .withColumn("_whole", F.expr("_n_test * size div _total"))
+        .withColumn("_rest", F.expr("_n_test * size % _total"))
+    )
+    place = F.dense_rank().over(topic.orderBy(F.desc("_rest"), "relevance"))
+    left_over = F.col("_n_test") - per_class("_whole")
+    return shares.withColumn("test", F.col("_whole") + (place <= left_over).cast("bigint"))
+
+
+def _known_classes(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("relevance").isin(0, 1))
 
 
 def undersample(rows: DataFrame, seed: int | str = SEED, strict: bool = False) -> DataFrame:
@@ -38,34 +56,36 @@ def undersample(rows: DataFrame, seed: int | str = SEED, strict: bool = False) -
     Where the irrelevant rows are fewer, the relevant ones are cut to their number; ``strict``
     raises instead. Grades other than 0 and 1 belong to neither class.
     """
-    return within_cut(rows, undersample_cut(rows, seed, strict), CLASS, seed)
-
-
-def split_cut(ids: DataFrame, seed: int | str = SPLIT_SEED, test_percent: int = 25) -> Spooled:
-    """Where to cut each class of a topic so that the part before the cut is the test part."""
-
-    def test_quota(sizes: DataFrame) -> DataFrame:
-        topic = Window.partitionBy("topic_id")  # one row per class
-        share = (
-            sizes.withColumn("total", F.sum("n").over(topic))
-            .withColumn("n_test", ceil_share(F.col("total"), test_percent))
-            .withColumn("whole", F.expr("n_test * n div total"))
-            .withColumn("rest", F.expr("n_test * n % total"))
-        )
-        place = F.row_number().over(topic.orderBy(F.desc("rest"), "relevance"))
-        left_over = F.col("n_test") - F.sum("whole").over(topic)
-        return share.select(*CLASS, (F.col("whole") + (place <= left_over).cast("bigint")).alias("quota"))
-
-    return quota_cut(ids, CLASS, test_quota, seed)
+    rows = _known_classes(rows)
+    cut = quota_cut(rows, CLASS, lambda h: _keep_quota(_with_size(h), strict), ["keep"], seed)
+    return within_cut(rows, cut, CLASS, "keep", seed)
 
 
-def stratified_split(rows: DataFrame, seed: int | str = SPLIT_SEED, test_percent: int = 25) -> DataFrame:
+def stratified_split(rows: DataFrame, seed: int | str = SEED, test_percent: int = 25) -> DataFrame:
     """Adds ``is_test``: per topic ceil(N * percent / 100) rows, each class by its share.
 
     Shares are rounded down and the rows left over go to the largest remainders, ties to the
     lower label.
     """
-    return flag_cut(rows, split_cut(rows, seed, test_percent), CLASS, "is_test", seed)
+    cut = quota_cut(rows, CLASS, lambda h: _test_quota(_with_size(h), test_percent), ["test"], seed)
+    return flag_cuts(rows, cut, CLASS, {"test": "is_test"}, seed)
+
+
+def balanced_split(rows: DataFrame, seed: int | str = SEED, test_percent: int = 25) -> DataFrame:
+    """``undersample`` and then ``stratified_split``, with one histogram for both.
+
+    Both draw from the front of the same seeded order. All is decided on keys and ids; the texts
+    are read once, to write the result.
+    """
+    rows = _known_classes(rows)
+    ids = spool(rows.select("pid", *CLASS), "ids").df
+
+    def both(histogram: DataFrame) -> DataFrame:
+        return _test_quota(_keep_quota(_with_size(histogram), strict=False), test_percent)
+
+    cut = quota_cut(ids, CLASS, both, ["keep", "test"], seed)
+    flagged = flag_cuts(rows, cut, CLASS, {"keep": "_keep", "test": "is_test"}, seed)
+    return spool(flagged.filter("_keep").drop("_keep"), "split").df
 
 
 def sample_negatives(
@@ -80,10 +100,8 @@ def sample_negatives(
     judged = [positives] if exclude is None else [positives, exclude]
     pool = misfits(articles, *judged).select("pid", F.lit(1).alias("_all"))
     n = positives.count()
-    cut = quota_cut(
-        pool, ["_all"], lambda sizes: sizes.select("_all", F.lit(n).alias("quota")), f"{seed}:misfit"
-    )
-    drawn = spool(within_cut(pool, cut, ["_all"], f"{seed}:misfit").select("pid"), "misfits").df
+    cut = quota_cut(pool, ["_all"], lambda h: h.withColumn("draw", F.lit(n)), ["draw"], f"{seed}:misfit")
+    drawn = spool(within_cut(pool, cut, ["_all"], "draw", f"{seed}:misfit").select("pid"), "misfits").df
     if drawn.count() < n:
         raise ValueError("not enough misfit articles for the positives")
 

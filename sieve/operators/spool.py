@@ -82,6 +82,11 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(text[:-1]) * units[text[-1]] if text and text[-1] in units else int(text)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, the one its own choice of a broadcast rests on."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 # A key is hot when it holds more than 1/HOT_SHARE of the weight, so there are at most
 # HOT_SHARE hot keys whatever the data; each is spread over SALTS tasks.
 HOT_SHARE = 1000
@@ -98,14 +103,17 @@ def lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``dim``, which has one row per ``on`` key, whatever the skew of ``rows``.
 
-    A dim within the broadcast limit goes to the rows and nothing is shuffled. A larger one is
-    joined by shuffle with the hot keys salted by ``spread``: the keys with much ``weight`` if
-    that column is named, else all keys (per-topic tables, which stay far smaller than the rows).
+    A dim within the broadcast limit goes to the rows and nothing is shuffled; one that is not
+    known to be that small is spooled to find out. A larger one is joined by shuffle with the hot
+    keys salted by ``spread``: the keys with much ``weight`` if that column is named, else all
+    keys (per-topic tables, which stay far smaller than the rows).
     """
-    spark = rows.sparkSession
+    limit = broadcast_limit(rows.sparkSession)
     if not isinstance(dim, Spooled):
+        if planned_bytes(dim) <= limit:
+            return rows.join(dim, on, how)
         dim = spool(dim, "dim")
-    if dim.bytes <= broadcast_limit(spark):
+    if dim.bytes <= limit:
         return rows.join(F.broadcast(dim.df), on, how)
 
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from sieve.operators.corpus import complete_rows
 from sieve.operators.metrics import threshold_sweep
 from sieve.operators.model import TokenModel, score, train_token_model, verdict
-from sieve.operators.ranking import SEED, flag_cut, within_cut
-from sieve.operators.sampling import CLASS, split_cut, undersample_cut
-from sieve.operators.spool import spool
+from sieve.operators.ranking import SEED
+from sieve.operators.sampling import balanced_split
 
 
 @dataclass(frozen=True)
@@ -37,22 +36,9 @@ class Screening:
         return threshold_sweep(self.predictions())
 
 
-def balanced_split(citations: DataFrame, seed: int = SEED, test_percent: int = 25) -> DataFrame:
-    """Complete rows, both classes of a topic equally large, with ``is_test``.
-
-    All sampling is decided on keys and ids; the texts are read once, to write the result.
-    """
-    complete = complete_rows(citations)
-    ids = spool(complete.select("topic_id", "pid", "relevance"), "ids").df
-    balance = undersample_cut(ids, seed)
-    held_out = split_cut(within_cut(ids, balance, CLASS, seed), f"{seed}:split", test_percent)
-    balanced = within_cut(complete, balance, CLASS, seed)
-    return spool(flag_cut(balanced, held_out, CLASS, "is_test", f"{seed}:split"), "split").df
-
-
 def screen(citations: DataFrame, seed: int = SEED, test_percent: int = 25) -> Screening:
-    """``citations``: topic_id, pid, title, abstract, relevance."""
-    split = balanced_split(citations, seed, test_percent)
+    """``citations``: topic_id, pid, title, abstract, relevance. Incomplete rows are left out."""
+    split = balanced_split(complete_rows(citations), seed, test_percent)
     return Screening(split, train_token_model(split.filter(~F.col("is_test"))))
 
 

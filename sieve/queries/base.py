@@ -26,9 +26,12 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def articles(self, *more: str) -> DataFrame:
         return self.table("documents").selectExpr(*ARTICLE_COLUMNS, *more)
@@ -112,7 +115,7 @@ quotas AS (
   FROM shares),
 split AS (
   SELECT b.*, row_number() OVER (PARTITION BY b.topic_id, b.relevance
-              ORDER BY md5('42:split:' || pid), pid) <= quota AS is_test
+              ORDER BY md5('42:' || pid), pid) <= quota AS is_test
   FROM balanced b JOIN quotas q ON b.topic_id = q.topic_id AND b.relevance = q.relevance)"""
 
 MODEL_SQL = f"""train_tokens AS (

@@ -153,7 +153,7 @@ def model_store(t: Tables) -> DataFrame:
     folder = new_dir(t.spark, "model")
     save_model(screen(t.citations()).model, folder)
     model = load_model(t.spark, folder, "en")
-    prior = model.priors.df.withColumn("prior", F.round("prior", 6))
+    prior = model.priors.withColumn("prior", F.round("prior", 6))
     return model.weights.df.drop("n").join(F.broadcast(prior), "topic_id")  # one topic, one row
 
 

@@ -13,8 +13,9 @@ from sieve.operators import model as L
 from sieve.operators.corpus import model_input
 from sieve.operators.profile import class_weight
 from sieve.operators.ranking import batched
+from sieve.operators.sampling import balanced_split
 from sieve.operators.spool import lookup
-from sieve.plans.screening import balanced_split, screen
+from sieve.plans.screening import screen
 from sieve.queries.base import (
     SCORE_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, with_sql,
 )

@@ -11,7 +11,6 @@ from sieve.operators import sampling as S
 from sieve.operators.corpus import not_null
 from sieve.operators.ranking import batched, chunked, draw_shards
 from sieve.plans.corpus_build import sampled_corpus
-from sieve.plans.screening import balanced_split
 from sieve.queries.base import BALANCED_SQL, SCREEN_SQL, SPLIT_SQL, Tables, citations_sql, query, with_sql
 
 
@@ -95,7 +94,7 @@ def undersample_short_majority(t: Tables) -> DataFrame:
 
 @query("stratified_split", with_sql(SCREEN_SQL, "SELECT topic_id, pid, relevance, is_test FROM split"))
 def stratified_split(t: Tables) -> DataFrame:
-    return balanced_split(t.citations()).select("topic_id", "pid", "relevance", "is_test")
+    return S.balanced_split(t.citations()).select("topic_id", "pid", "relevance", "is_test")
 
 
 @query("split_by_source", with_sql(

@@ -1,6 +1,6 @@
 """Run registered queries and their SQL side by side.
 
-    python -m tests.oracle [sf_dir] [name ...]
+    python -m tests.oracle [sf_dir] [setting=value ...] [name ...]
 """
 
 from __future__ import annotations
@@ -62,7 +62,9 @@ def main() -> int:
 
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    spark, con, bad = get_session(8), duck(sf_dir), 0
+    conf = dict(a.split("=", 1) for a in args if "=" in a)
+    args = [a for a in args if "=" not in a]
+    spark, con, bad = get_session(8, **conf), duck(sf_dir), 0
     for name in args or QUERIES:
         start = time.time()
         try:
