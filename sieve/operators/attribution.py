@@ -75,9 +75,9 @@ def sampled_attributions(rows: DataFrame, score_text: Callable[[Column], Column]
     """
     keys = list(keys)
     words = rows.select(*keys, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_w")).filter(F.size("_w") > 0)
-    run = F.ceil(F.size("_w") / groups).cast("int")
+    run = F.greatest(F.ceil(F.size("_w") / groups).cast("int"), F.lit(1))
     runs = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("_w") / F.col("_run")).cast("int") - 1),
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_w") / F.col("_run")).cast("int"), F.lit(1)) - 1),
         lambda g: F.slice("_w", g * F.col("_run") + 1, F.col("_run")),
     )
     cut = words.withColumn("_run", run).withColumn("_runs", runs).drop("_w", "_run")

@@ -38,8 +38,8 @@ def _test_quota(sized: DataFrame, percent: int) -> DataFrame:
         sized.withColumn("_once", once)
         .withColumn("_total", per_class("size"))
         .withColumn("_n_test", ceil_share(F.col("_total"), percent))
-        .withColumn("_whole", F.expr("_n_test * size div _total"))
-        .withColumn("_rest", F.expr("_n_test * size % _total"))
+        .withColumn("_whole", F.expr("_n_test * size div greatest(_total, 1)"))
+        .withColumn("_rest", F.expr("_n_test * size % greatest(_total, 1)"))
     )
     place = F.dense_rank().over(topic.orderBy(F.desc("_rest"), "relevance"))
     left_over = F.col("_n_test") - per_class("_whole")

@@ -109,12 +109,14 @@ def lookup(
     keys (per-topic tables, which stay far smaller than the rows).
     """
     limit = broadcast_limit(rows.sparkSession)
+    columns = (dim.df if isinstance(dim, Spooled) else dim).columns
+    columns = [*rows.columns, *[c for c in columns if c not in on]]
     if not isinstance(dim, Spooled):
         if planned_bytes(dim) <= limit:
-            return rows.join(dim, on, how)
+            return rows.join(dim, on, how).select(*columns)
         dim = spool(dim, "dim")
     if dim.bytes <= limit:
-        return rows.join(F.broadcast(dim.df), on, how)
+        return rows.join(F.broadcast(dim.df), on, how).select(*columns)
 
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -131,4 +133,4 @@ def lookup(
             .drop("_hot")
         )
         salted_dim = dim.df.withColumn("_salt", F.explode(F.when(is_hot, copies).otherwise(F.array(F.lit(0)))))
-    return salted_rows.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return salted_rows.join(salted_dim, [*on, "_salt"], how).select(*columns)
