@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\p{Z}\x0b\x1c-\x1f\x85"
 TOKEN = rf"([{WORD}]+|[^{WORD}{SPACE}])"
-EDGE_SPACE = rf"^[{SPACE}]+|[{SPACE}]+$"
+# The same white space as single characters (fixed values).
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Texts that a CSV field may use for "no value" (fixed values).
 NULL_TOKENS = (
@@ -20,7 +24,7 @@ NULL_TOKENS = (
 
 def strip(text: Column) -> Column:
     """Cut white space of any kind off both ends (``trim`` cuts blanks only)."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def tokens(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieve.functions.text import is_word, lower_tokens, tokens
+from sieve.functions.text import SPACE, is_word, lower_tokens, tokens
 from sieve.operators.encoding import long_tokens
 from sieve.operators.model import CLASS_NAMES, TokenModel, weigh
 from sieve.operators.ranking import SEED, seeded_order, top_per_group
@@ -74,34 +74,35 @@ def sampled_attributions(rows: DataFrame, score_text: Callable[[Column], Column]
     grows with length * permutations * groups, spread over (article, permutation).
     """
     keys = list(keys)
-    words = rows.select(*keys, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_w")).filter(F.size("_w") > 0)
-    run = F.greatest(F.ceil(F.size("_w") / groups).cast("int"), F.lit(1))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_w") / F.col("_run")).cast("int"), F.lit(1)) - 1),
-        lambda g: F.slice("_w", g * F.col("_run") + 1, F.col("_run")),
-    )
-    cut = words.withColumn("_run", run).withColumn("_runs", runs).drop("_w", "_run")
-
+    content = F.coalesce(F.col(text), F.lit(""))
+    words = rows.filter(content.rlike(f"[^{SPACE}]")).select(*keys, tokens(content).alias("_w"))
+    run = F.ceil(F.size("_w") / groups).cast("int")
+    starts = F.sequence(F.lit(1), F.size("_w"), F.col("_run"))
+    runs = F.transform(starts, lambda at: F.array_join(F.slice("_w", at, F.col("_run")), " "))
+    cut = words.withColumn("_run", run).withColumn("_runs", runs).select(*keys, "_runs")
+
+    # The outer explodes keep Catalyst from testing the arrays for emptiness, which would cut the
+    # text a second time.
     ident = F.concat_ws(":", F.lit(str(seed)), *keys, F.col("perm").cast("string"))
     numbered = F.sequence(F.lit(0), F.size("_runs") - 1)
     shuffled = F.array_sort(
         F.transform(numbered, lambda g: F.struct(F.md5(F.concat(ident, F.lit(":"), g.cast("string"))), g.alias("g")))
     )
-    perms = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
-    drawn = cut.withColumn("perm", perms).withColumn("_order", F.transform(shuffled, lambda e: e["g"]))
-    steps = drawn.withColumn("_step", F.explode(F.sequence(F.lit(0), F.size("_runs"))))
+    drawn = cut.withColumn("perm", F.explode_outer(F.sequence(F.lit(1), F.lit(permutations))))
+    drawn = drawn.withColumn("_order", F.transform(shuffled, lambda e: e["g"]))
+    steps = drawn.withColumn("_step", F.explode_outer(F.sequence(F.lit(0), F.size("_runs"))))
     present = F.slice("_order", 1, F.col("_step"))
     kept = F.filter("_runs", lambda r, i: F.array_contains(present, i))
+    added = F.when(F.col("_step") > 0, F.try_element_at("_order", F.col("_step")))
     scored = steps.select(
-        *keys, "perm", "_step",
-        F.when(F.col("_step") > 0, F.try_element_at("_order", F.col("_step"))).alias("part"),
-        score_text(F.array_join(F.flatten(kept), " ")).alias("_score"),
+        *keys, "perm", "_step", added.alias("part"),
+        F.when(F.col("perm") == 1, F.get("_runs", added)).alias("_text"),
+        score_text(F.array_join(kept, " ")).alias("_score"),
     )
     previous = F.lag("_score").over(Window.partitionBy(*keys, "perm").orderBy("_step"))  # <= groups + 1 rows
     changes = scored.withColumn("_change", F.col("_score") - previous).filter(F.col("_step") > 0)
-    values = changes.groupBy(*keys, "part").agg(F.avg("_change").alias("value"))
-    parts = cut.select(*keys, F.posexplode("_runs").alias("part", "tokens"))
-    return values.join(parts, [*keys, "part"])
+    values = changes.groupBy(*keys, "part").agg(F.avg("_change").alias("value"), F.max("_text").alias("_text"))
+    return values.select(*keys, "part", "value", F.split("_text", " ").alias("tokens"))
 
 
 def _importance(verdict: Column, value: Column) -> Column:

@@ -62,8 +62,8 @@ def parts(explanation: Column, index: Column) -> Column:
     return F.when(index.isNull(), F.array().cast(_PARTS)).otherwise(listed)
 
 
-def best_words(all_parts: Column, verdict: Column, n: int = 5) -> Column:
-    """First ``n`` different words (ignoring case) in the order the verdict asks for."""
+def ordered_words(all_parts: Column, verdict: Column) -> Column:
+    """The words among the parts in the order the verdict asks for, ties in reading order."""
     words = F.filter(all_parts, lambda p: is_word(p["token"]))
     entry = F.transform(
         words,
@@ -72,14 +72,18 @@ def best_words(all_parts: Column, verdict: Column, n: int = 5) -> Column:
             F.lower(p["token"]).alias("w"),
         ),
     )
-    ordered = F.array_sort(entry)
-    start = F.filter(ordered, lambda e: F.lit(False))
+    return F.array_sort(entry)
+
+
+def first_words(ordered: str, n: int = 5) -> Column:
+    """First ``n`` words that differ by more than case. ``ordered`` names a column, so that the
+    sort behind it is not repeated for each of the ``n`` steps."""
 
     def add_next(chosen: Column, _step: Column) -> Column:
         fresh = F.filter(ordered, lambda e: ~F.exists(chosen, lambda c: c["w"] == e["w"]))
         return F.concat(chosen, F.slice(fresh, 1, 1))
 
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, add_next)
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.slice(ordered, 1, 0), add_next)
     return F.transform(chosen, lambda e: e["part"])
 
 
@@ -96,9 +100,11 @@ def article_results(raw: DataFrame, target: str = "Relevant", n: int = 5) -> Dat
         .withColumn("explained_abstract_parts", parts(F.col("_a"), F.col("_i")))
     )
     both = F.concat("explained_title_parts", "explained_abstract_parts")
-    return shaped.withColumn("_both", both).withColumn(
-        "top_words", best_words(F.col("_both"), F.col("verdict"), n)
-    ).drop("_t", "_a", "_i", "_both", "title_expl", "abstract_expl")
+    return (
+        shaped.withColumn("_words", ordered_words(both, F.col("verdict")))
+        .withColumn("top_words", first_words("_words", n))
+        .drop("_t", "_a", "_i", "_words", "title_expl", "abstract_expl")
+    )
 
 
 def topic_pages(articles: DataFrame, page_size: int = 15) -> DataFrame:

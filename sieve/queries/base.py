@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.session import apply_defaults
+from sieve.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,10 @@ class Tables:
     def articles(self, *more: str) -> DataFrame:
         return self.table("documents").selectExpr(*ARTICLE_COLUMNS, *more)
 
+    def texts(self, *more: str) -> DataFrame:
+        """The articles, for work on every token."""
+        return spread(self.table("documents")).selectExpr(*ARTICLE_COLUMNS, *more)
+
     def judgments(self, topic: str = "lang") -> DataFrame:
         docs = self.table("documents").select("doc_id", F.col(topic).alias("topic_id"))
         return self.table("labels").join(docs, "doc_id").select(

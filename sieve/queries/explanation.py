@@ -65,14 +65,14 @@ terms AS (
 valued AS (
   SELECT t.topic_id, t.pid, t.token, n, coalesce(weight, 0) * n - coalesce(base, 0) AS value, coalesce(base, 0) AS base
   FROM terms t LEFT JOIN base b ON t.topic_id = b.topic_id AND t.token = b.token)"""], """
-SELECT topic_id, pid, token, n, round(value, 6) AS value FROM valued
+SELECT topic_id, pid, token, n, round(value, 8) AS value FROM valued
 UNION ALL
-SELECT v.topic_id, pid, NULL, 0, round(sum(base) - any_value(whole), 6)
+SELECT v.topic_id, pid, NULL, 0, round(sum(base) - any_value(whole), 8)
 FROM valued v JOIN (SELECT topic_id, sum(base) AS whole FROM base GROUP BY topic_id) b ON v.topic_id = b.topic_id
 GROUP BY v.topic_id, pid"""))
 def background_attributions(t: Tables) -> DataFrame:
     s = screen(t.citations())
-    return A.background_attributions(s.test, s.model, s.train).withColumn("value", rounded("value"))
+    return A.background_attributions(s.test, s.model, s.train).withColumn("value", rounded("value", 8))
 
 
 @query("sampled_attributions", with_sql(ARTICLES_SQL, f"""
@@ -93,7 +93,7 @@ def sampled_attributions(t: Tables) -> DataFrame:
         n_long = words.map(lambda ws: sum(len(w) > 6 for w in ws)).to_numpy(dtype="float64")
         return pd.Series(1 / (1 + np.exp(-(3.0 * n_long - n) / (n + 1.0))))
 
-    rows = model_input(t.articles("lang as topic_id"), "abstract")
+    rows = model_input(t.texts("lang as topic_id"), "abstract")
     parts = A.sampled_attributions(rows, long_word_score, permutations=2, groups=8)
     return parts.groupBy("topic_id", "pid").agg(
         F.count("*").alias("n_parts"), F.sum(F.size("tokens")).alias("n_tokens"), rounded(F.sum("value")).alias("total")
@@ -145,7 +145,7 @@ def explanation_checks(t: Tables) -> DataFrame:
     pair = lambda w: F.array(-value(w), value(w), F.lit(0.0))
     title, abstract = tokens(F.col("title")), tokens(F.col("abstract"))
     n = F.col("n_chars")
-    rows = t.articles("lang", "n_chars").withColumn("abstract", F.when(n >= 100, F.col("abstract")))
+    rows = t.texts("lang", "n_chars").withColumn("abstract", F.when(n >= 100, F.col("abstract")))
     title_scores = F.transform(title, pair)
     raw = rows.select(
         "pid", F.when(n >= 200, F.col("title")).alias("title"), "abstract", F.when(n >= 300, F.col("lang")).alias("verdict"),
@@ -219,7 +219,7 @@ def rebuild_text(t: Tables) -> DataFrame:
     text = F.when(F.col("lang") != "fr", F.col("abstract")).otherwise("")
     parts = F.transform(tokens(text), lambda w: F.struct(w.alias("token"), F.lit(0.0).alias("value")))
     rebuilt = R.rebuilt_text(F.col("parts"), F.lit("Abstract not available."))
-    return t.articles("lang").withColumn("parts", parts).select("pid", rebuilt.alias("text"))
+    return t.texts("lang").withColumn("parts", parts).select("pid", rebuilt.alias("text"))
 
 
 @query("display", with_sql([*SCORE_SQL, VERDICTS_SQL], """

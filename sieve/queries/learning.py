@@ -20,6 +20,7 @@ from sieve.queries.base import (
     SCORE_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, with_sql,
 )
 
+FEATURES = 1 << 13
 _RATES = ("accuracy", "precision", "recall", "f1")
 _COUNTS_SQL = """count(*) FILTER (WHERE prob >= threshold AND label = 1) AS tp,
          count(*) FILTER (WHERE prob >= threshold AND label = 0) AS fp,
@@ -135,7 +136,7 @@ def pooled_model(t: Tables) -> DataFrame:
     train = lookup(rows.filter("not is_test"), weights, ["topic_id"], "inner").withColumn(
         "w", F.when(F.col("relevance") == 1, F.col("pos_weight")).otherwise(1.0)
     )
-    fitted = L.train_linear(train, weight="w")
+    fitted = L.train_linear(train, weight="w", features=FEATURES)
     return _held_out(L.score_linear(rows.filter("is_test"), fitted))
 
 
@@ -143,7 +144,7 @@ def pooled_model(t: Tables) -> DataFrame:
 def topic_linear_models(t: Tables) -> DataFrame:
     """One logistic regression per topic, all in one fit."""
     rows = _texts(t)
-    fitted = L.train_linear(rows.filter("not is_test"), per_topic=True)
+    fitted = L.train_linear(rows.filter("not is_test"), per_topic=True, features=FEATURES)
     return _held_out(L.score_linear(rows.filter("is_test"), fitted, per_topic=True))
 
 
@@ -153,5 +154,5 @@ def numeric_features(t: Tables) -> DataFrame:
     rows = _texts(t).withColumn("title_n", F.log1p(token_count(F.col("title")))).withColumn(
         "abstract_n", F.log1p(token_count(F.col("abstract")))
     )
-    fitted = L.train_linear(rows.filter("not is_test"), numeric=["title_n", "abstract_n"])
+    fitted = L.train_linear(rows.filter("not is_test"), numeric=["title_n", "abstract_n"], features=FEATURES)
     return _held_out(L.score_linear(rows.filter("is_test"), fitted))

@@ -76,19 +76,19 @@ FROM (
   UNION ALL SELECT lang, 'total', len({tokens_sql('abstract')}) FROM articles)
 GROUP BY lang, part"""))
 def token_lengths(t: Tables) -> DataFrame:
-    found = length_percentiles(t.articles("lang as topic_id"))
+    found = length_percentiles(t.texts("lang as topic_id"))
     return found.select("topic_id", "part", *[rounded(c).alias(c) for c in ("p50", "p75", "p90", "p95")])
 
 
 @query("vocabulary", with_sql([ARTICLES_SQL, VOCABULARY_SQL], "SELECT token, n, token_id FROM vocabulary"))
 def vocabulary(t: Tables) -> DataFrame:
-    return E.vocabulary(E.word_counts(t.articles(), "title", "abstract", min_count=10))
+    return E.vocabulary(E.word_counts(t.texts(), "title", "abstract", min_count=10))
 
 
 @query("largest_vocabulary", with_sql([ARTICLES_SQL, VOCABULARY_SQL], """
 SELECT token, n, token_id FROM vocabulary WHERE token_id < 504"""))
 def largest_vocabulary(t: Tables) -> DataFrame:
-    return E.vocabulary(E.word_counts(t.articles(), "title", "abstract"), max_size=500)
+    return E.vocabulary(E.word_counts(t.texts(), "title", "abstract"), max_size=500)
 
 
 @query("pair_encoding", with_sql([ARTICLES_SQL, VOCABULARY_SQL, citations_sql(), f"""lists AS (
@@ -110,7 +110,7 @@ SELECT c.topic_id, c.pid, CAST(relevance AS FLOAT) AS label,
          AS token_type_ids
 FROM cut c JOIN coded k ON c.topic_id = k.topic_id AND c.pid = k.pid"""))
 def pair_encoding(t: Tables) -> DataFrame:
-    vocab = E.vocabulary(E.word_counts(t.articles(), "title", "abstract", min_count=10))
+    vocab = E.vocabulary(E.word_counts(t.texts(), "title", "abstract", min_count=10))
     encoded = E.encode_pairs(t.citations(), vocab, 350)
     lists = ("input_ids", "attention_mask", "token_type_ids")
     return encoded.select("topic_id", "pid", "label", *[F.array_join(c, ",").alias(c) for c in lists])
@@ -128,8 +128,8 @@ SELECT topic_id, pid,
        array_to_string(list_transform(range(128), lambda i: CASE WHEN i < k + 2 THEN 1 ELSE 0 END), ',') AS attention_mask
 FROM coded"""))
 def single_encoding(t: Tables) -> DataFrame:
-    vocab = E.vocabulary(E.word_counts(t.articles(), "title", "abstract", min_count=10))
-    rows = model_input(t.articles("lang as topic_id", "source"), "topic_id", "source", "title", "abstract")
+    vocab = E.vocabulary(E.word_counts(t.texts(), "title", "abstract", min_count=10))
+    rows = model_input(t.texts("lang as topic_id", "source"), "topic_id", "source", "title", "abstract")
     encoded = E.encode_texts(rows, vocab, 128)
     return encoded.select("topic_id", "pid", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask")])
 
@@ -160,7 +160,7 @@ GROUP BY token HAVING count(*) >= 20"""))
 def custom_tokenizer(t: Tables) -> DataFrame:
     """Any Column to Column function can take the tokenizer's place."""
     by_blank = lambda c: F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " ")
-    return E.word_counts(t.articles(), "abstract", min_count=20, tokenizer=by_blank)
+    return E.word_counts(t.texts(), "abstract", min_count=20, tokenizer=by_blank)
 
 
 @query("table_function", """

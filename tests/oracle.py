@@ -40,7 +40,9 @@ def canonical(rows: list[tuple], cols: list[str]) -> list[tuple]:
 
 def compare(df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     got_rows = [tuple(r) for r in df.collect()]
+    compare.collect_seconds = time.time() - start
     got_kinds = {f.name: kind(f.dataType.simpleString()) for f in df.schema}
     rel = con.sql(sql)
     want_kinds = dict(zip(rel.columns, (kind(str(t)) for t in rel.types)))
@@ -67,8 +69,10 @@ def main() -> int:
     spark, con, bad = get_session(8, **conf), duck(sf_dir), 0
     for name in args or QUERIES:
         start = time.time()
+        compare.collect_seconds = 0.0
         try:
             df = QUERIES[name](spark, sf_dir)
+            build = time.time() - start
             if name in ORACLES:
                 found = compare(df, con, ORACLES[name])
                 state = "ok" if found is None else f"DIFFERENT {found}"
@@ -79,7 +83,7 @@ def main() -> int:
             if args:
                 traceback.print_exc()
         bad += not state.startswith("ok")
-        print(f"{name:28s} {time.time() - start:6.1f}s {state}", flush=True)
+        print(f"{name:28s} spark {build + compare.collect_seconds:6.1f}s {state}", flush=True)
     release(spark)
     spark.stop()
     return bad
