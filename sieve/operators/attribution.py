@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieve.functions.numeric import sigmoid
 from sieve.functions.text import SPACE, is_word, lower_tokens, tokens
 from sieve.operators.encoding import long_tokens
-from sieve.operators.model import CLASS_NAMES, TokenModel, weigh
+from sieve.operators.model import CLASS_NAMES, TokenModel, verdict, weigh
 from sieve.operators.ranking import SEED, seeded_order, top_per_group
 from sieve.operators.spool import lookup, spool
 
@@ -105,9 +106,9 @@ def sampled_attributions(rows: DataFrame, score_text: Callable[[Column], Column]
     return values.select(*keys, "part", "value", F.split("_text", " ").alias("tokens"))
 
 
-def _importance(verdict: Column, value: Column) -> Column:
+def _importance(decision: Column, value: Column) -> Column:
     """Smaller is more important: by score for Relevant, against it for Irrelevant, else by size."""
-    return F.when(verdict == "Relevant", -value).when(verdict == "Irrelevant", value).otherwise(-F.abs(value))
+    return F.when(decision == "Relevant", -value).when(decision == "Irrelevant", value).otherwise(-F.abs(value))
 
 
 def top_words(long: DataFrame, n: int = 5) -> DataFrame:
@@ -132,17 +133,20 @@ def top_contributions(long: DataFrame, n: int = 5) -> DataFrame:
     return best.select(*_ARTICLE, F.col("rank").cast("bigint").alias("rank"), "token", "value")
 
 
-def explanation_records(long: DataFrame, articles: DataFrame) -> DataFrame:
-    """One raw explanation per article: tokens and per-class scores of title and abstract.
+def explanation_records(long: DataFrame, articles: DataFrame, priors: DataFrame) -> DataFrame:
+    """One raw explanation per article, with its verdict.
 
-    ``articles`` brings topic_id, pid, title, abstract, verdict. A list is as long as the text.
+    ``articles`` brings topic_id, pid, title, abstract. A list is as long as the text. The values
+    and the topic's prior add up to the logit, so the texts are tokenised and weighed once for
+    explanation and verdict together.
     """
     entry = F.struct("pos", "token", "value")
     listed = long.groupBy(*_ARTICLE).agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("field") == f, entry))).alias(f"_{f}")
             for f in ("title", "abstract")
-        ]
+        ],
+        F.sum("value").alias("_sum"),
     )
 
     def explanation(entries: str) -> Column:
@@ -153,9 +157,9 @@ def explanation_records(long: DataFrame, articles: DataFrame) -> DataFrame:
         )
 
     found = F.col("_title").isNotNull()
-    return articles.join(listed, _ARTICLE, "left").select(
-        *_ARTICLE, "title", "abstract", "verdict",
+    logit = F.col("prior") + F.coalesce("_sum", F.lit(0.0))
+    return lookup(articles.join(listed, _ARTICLE, "left"), priors, ["topic_id"], "left").select(
+        *_ARTICLE, "title", "abstract", verdict(sigmoid(logit)).alias("verdict"),
         F.when(found, explanation("_title")).alias("title_expl"),
         F.when(found, explanation("_abstract")).alias("abstract_expl"),
     )
-

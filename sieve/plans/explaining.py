@@ -9,7 +9,6 @@ from sieve.operators.attribution import attributions, explanation_records
 from sieve.operators.corpus import screenable
 from sieve.operators.model import TokenModel
 from sieve.operators.results import article_results
-from sieve.plans.screening import judged
 
 
 def explained(rows: DataFrame, model: TokenModel) -> DataFrame:
@@ -18,9 +17,7 @@ def explained(rows: DataFrame, model: TokenModel) -> DataFrame:
         "topic_id", "pid", F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("abstract", F.lit("")).alias("abstract"),
     )
-    verdicts = judged(rows, model).select("topic_id", "pid", "verdict")
-    articles = rows.join(verdicts, ["topic_id", "pid"])
-    return explanation_records(attributions(rows, model), articles)
+    return explanation_records(attributions(rows, model), rows, model.priors)
 
 
 def readable(rows: DataFrame, model: TokenModel) -> DataFrame:

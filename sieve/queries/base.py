@@ -49,7 +49,7 @@ class Tables:
 
     def citations(self, topic: str = "lang", relevance: str = "toxic") -> DataFrame:
         return (
-            self.table("documents")
+            spread(self.table("documents"))
             .join(self.table("labels"), "doc_id")
             .selectExpr(f"{topic} as topic_id", *ARTICLE_COLUMNS, f"{relevance} as relevance")
         )

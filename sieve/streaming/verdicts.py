@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sieve.operators.spool import lookup
+
 KEYS = ("topic_id", "article_id")
 
 
@@ -31,8 +33,10 @@ def open_verdicts(events: DataFrame, reviewer: str = "reviewer") -> DataFrame:
     current = by_reviewer.select(reviewer, F.col("_now.topic_id").alias("_topic"))
     left = visits.join(current, reviewer).filter(F.col("topic_id") != F.col("_topic"))
     left = left.groupBy(reviewer).agg(F.max("_last").alias("_left"))
-    live = events.join(current, reviewer).filter(F.col("topic_id") == F.col("_topic"))
-    live = live.join(left, reviewer, "left").filter(F.col("_left").isNull() | (when > F.col("_left")))
+    state = current.join(left, reviewer, "left")
+    live = lookup(events, state, [reviewer], "inner", spread="event_id").filter(
+        (F.col("topic_id") == F.col("_topic")) & (F.col("_left").isNull() | (when > F.col("_left")))
+    )
     return latest_verdicts(live.drop("_topic", "_left"), (reviewer, *KEYS))
 
 
