@@ -121,6 +121,27 @@ def ranked(
     return out.withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
+def shuffled(
+    rows: DataFrame, keys: Sequence[str] = (), seed: int | str = SEED, id_col: str = "pid", name: str = "rank"
+) -> DataFrame:
+    """Number all rows from 1 in seeded order, over the table or within each group of ``keys``.
+
+    The leading digits of the order cut every group into even buckets, which are ranked apart;
+    the sizes of the buckets before give the rest. Unlike ``ranked`` this stores no rows.
+    """
+    keys = list(keys)
+    keyed = rows.withColumn("_order", seeded_order(seed, id_col)).withColumn(
+        "_bucket", F.substring("_order", 1, _BUCKET_DIGITS)
+    )
+    sizes = spool(keyed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")), "histogram").df
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    in_bucket = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_order", *keys))
+    # Beyond a broadcast the ranked rows already lie as this join wants them.
+    placed = keyed.withColumn("_in", in_bucket).join(offsets, [*keys, "_bucket"])
+    return placed.withColumn(name, F.col("_before") + F.col("_in")).select(*rows.columns, name)
+
+
 def top_per_group(
     rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rank"
 ) -> DataFrame:
@@ -163,8 +184,10 @@ def batched(
     id_col: str = "pid",
 ) -> DataFrame:
     """Give each row a batch number within its group, in shuffled or in id order."""
-    order = seeded_order(seed, id_col) if shuffle else F.col(id_col)
-    placed = ranked(rows, [order], keys, "_rank", spread=id_col)
+    if shuffle:
+        placed = shuffled(rows, keys, seed, id_col, "_rank")
+    else:
+        placed = ranked(rows, [id_col], keys, "_rank", spread=id_col)
     return placed.withColumn("batch_id", F.floor((F.col("_rank") - 1) / size).cast("bigint")).withColumn(
         "row_in_batch", ((F.col("_rank") - 1) % size).cast("bigint")
     ).drop("_rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieve.functions.numeric import ceil_share
 from sieve.operators.corpus import misfits
-from sieve.operators.ranking import SEED, flag_cuts, quota_cut, ranked, seeded_order, within_cut
+from sieve.operators.ranking import SEED, flag_cuts, quota_cut, shuffled, within_cut
 from sieve.operators.spool import spool
 
 
@@ -107,10 +107,12 @@ def sample_negatives(
 
     texts = ("pid", "title", "abstract", "relevance")
     topic_cols = [c for c in positives.columns if c not in texts]
-    hosts = ranked(
-        positives.select("pid", *topic_cols), [seeded_order(f"{seed}:host"), "topic_id"], name="_k"
-    ).drop("pid")
-    guests = ranked(drawn, [seeded_order(f"{seed}:misfit")], name="_k")
+    # A pid may be relevant to several topics, so the order of the hosts runs over both.
+    host = F.concat_ws("\t", "pid", "topic_id")
+    hosts = shuffled(
+        positives.select(host.alias("_host"), *topic_cols), seed=f"{seed}:host", id_col="_host", name="_k"
+    ).drop("_host")
+    guests = shuffled(drawn, seed=f"{seed}:misfit", name="_k")
     negatives = (
         hosts.join(guests, "_k")
         .drop("_k")

@@ -22,7 +22,7 @@ positives AS (
   FROM articles a JOIN labels l ON a.pid = CAST(l.doc_id AS VARCHAR) WHERE toxic = 1),
 hosts AS (
   SELECT topic_id, topic_title, topic_objective,
-         row_number() OVER (ORDER BY md5('42:host:' || pid), pid, topic_id) AS k FROM positives),
+         row_number() OVER (ORDER BY md5('42:host:' || pid || chr(9) || topic_id), pid, topic_id) AS k FROM positives),
 guests AS (
   SELECT pid, title, abstract, row_number() OVER (ORDER BY md5('42:misfit:' || pid), pid) AS k
   FROM articles WHERE pid NOT IN (SELECT pid FROM positives))
@@ -47,7 +47,7 @@ def negative_sampling(t: Tables) -> DataFrame:
 @query("negatives_without_test_ids", """
 WITH judged AS (SELECT d.doc_id, lang, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 hosts AS (
-  SELECT lang AS topic_id, row_number() OVER (ORDER BY md5('7:host:' || doc_id), CAST(doc_id AS VARCHAR), lang) AS k
+  SELECT lang AS topic_id, row_number() OVER (ORDER BY md5('7:host:' || doc_id || chr(9) || lang), doc_id, lang) AS k
   FROM judged WHERE toxic = 1),
 guests AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('7:misfit:' || doc_id), CAST(doc_id AS VARCHAR)) AS k

@@ -121,9 +121,12 @@ def test_ranked_over_table_and_groups(spark, rows):
     whole = {r["pid"]: r["rank"] for r in K.ranked(df, [K.seeded_order()]).collect()}
     want = sorted((p for _, p, _ in rows), key=order)
     assert whole == {p: i for i, p in enumerate(want, 1)}
+    assert {r["pid"]: r["rank"] for r in K.shuffled(df).collect()} == whole
     groups = defaultdict(list)
     for t, p, _ in rows:
         groups[t].append(p)
+    got = {(r["topic_id"], r["pid"]): r["rank"] for r in K.shuffled(df, ["topic_id"]).collect()}
+    assert got == {(t, p): i for t, ps in groups.items() for i, p in enumerate(sorted(ps, key=order), 1)}
     got = {(r["topic_id"], r["pid"]): r["rank"] for r in K.ranked(df, ["pid"], ["topic_id"]).collect()}
     assert got == {(t, p): i for t, ps in groups.items() for i, p in enumerate(sorted(ps), 1)}
 
