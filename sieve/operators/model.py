@@ -135,18 +135,21 @@ def train_linear(train: DataFrame, text: str = "text", per_topic: bool = False,
     ``per_topic`` gives every topic its own weights inside one fit: each token is hashed together
     with its topic, so the feature space falls apart into one block per topic.
     """
-    parts = ["_tfidf", *numeric]
+    hashing = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
+    joined = [VectorAssembler(inputCols=["_tfidf", *numeric], outputCol="features")] if numeric else []
     stages = [
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_tfidf"),
-        VectorAssembler(inputCols=parts, outputCol="features"),
+        *joined,
         LogisticRegression(
-            labelCol="label", featuresCol="features", maxIter=iterations, regParam=0.01,
+            labelCol="label", featuresCol="features" if numeric else "_tfidf", maxIter=iterations, regParam=0.01,
             **({"weightCol": weight} if weight else {}),
         ),
     ]
     rows = linear_input(train, text, per_topic).withColumn("label", F.col("relevance").cast("double"))
-    return Pipeline(stages=stages).fit(rows)
+    needed = ["label", "_tf", *numeric, *([weight] if weight else [])]
+    # The fit passes over its input many times; the texts are tokenised for the first one only.
+    counts = spool(hashing.transform(rows).select(*needed), "term-counts").df
+    return PipelineModel([hashing, *Pipeline(stages=stages).fit(counts).stages])
 
 
 def linear_input(rows: DataFrame, text: str = "text", per_topic: bool = False) -> DataFrame:
