@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieve.functions.numeric import sigmoid
 from sieve.functions.text import SPACE, is_word, lower_tokens, tokens
-from sieve.operators.encoding import long_tokens
+from sieve.operators.encoding import long_tokens, term_rows
 from sieve.operators.model import CLASS_NAMES, TokenModel, verdict, weigh
 from sieve.operators.ranking import SEED, seeded_order, top_per_group
 from sieve.operators.spool import lookup, spool
@@ -44,9 +44,7 @@ def background_attributions(rows: DataFrame, model: TokenModel, background: Data
     dim = spool(dim.withColumnRenamed("n", "_n"), "background")
     whole = dim.df.groupBy("topic_id").agg(F.sum("_base").alias("_whole"))
 
-    terms = rows.select(*_ARTICLE, F.explode(words).alias("token")).groupBy(*_ARTICLE, "token").agg(
-        F.count("*").alias("n")
-    )
+    terms = term_rows(rows, words, _ARTICLE).filter("token is not null")
     valued = lookup(terms, dim, ["topic_id", "token"], "left", weight="_n").select(
         *_ARTICLE, "token", "n",
         (F.coalesce("weight", F.lit(0.0)) * F.col("n") - F.coalesce("_base", F.lit(0.0))).alias("value"),

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from sieve.functions.numeric import sigmoid
 from sieve.functions.text import lower_tokens
-from sieve.operators.encoding import Tokenizer
-from sieve.operators.spool import Spooled, lookup, path_exists, spool, stored_bytes
+from sieve.operators.encoding import Tokenizer, term_rows
+from sieve.operators.spool import Spooled, broadcast_limit, lookup, path_exists, spool, stored_bytes
 
 # Model codes and the class names shown for them (fixed values).
 LABEL_NAMES = {"LABEL_0": "Irrelevant", "LABEL_1": "Relevant"}
@@ -81,12 +81,17 @@ def score(rows: DataFrame, model: TokenModel, keys: Sequence[str] = ("topic_id",
           carry: Sequence[str] = (), fields: Sequence[str] = ("title", "abstract")) -> DataFrame:
     """Logit and probability per row; null where the topic has no model.
 
-    After a broadcast of the weights all tokens of an article sit in one task, so the sum shuffles
-    one partial row per article.
+    After a broadcast of the weights all tokens of an article sit in one task, and the sum
+    shuffles one partial row per article. A larger model is joined by shuffle, so there each text
+    first counts its own tokens.
     """
     words = F.concat(*[lower_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
-    tokens = rows.select(*keys, *carry, F.explode_outer(words).alias("token"))
-    evidence = weigh(tokens, model, F.col("token")).groupBy(*keys, *carry).agg(F.sum("weight").alias("_sum"))
+    if model.weights.bytes <= broadcast_limit(rows.sparkSession):
+        tokens = rows.select(*keys, *carry, F.explode_outer(words).alias("token"), F.lit(1).alias("n"))
+    else:
+        tokens = term_rows(rows, words, [*keys, *carry])
+    found = weigh(tokens, model, F.col("token"))
+    evidence = found.groupBy(*keys, *carry).agg(F.sum(F.col("weight") * F.coalesce("n", F.lit(0))).alias("_sum"))
     logit = F.col("prior") + F.col("_sum")
     return (
         lookup(evidence, model.priors, ["topic_id"], "left")

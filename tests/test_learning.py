@@ -264,3 +264,20 @@ def test_offsets(spark):
     df = spark.createDataFrame(data, "topic_id string, batch_id int, row_in_batch int, tokens array<string>, relevance int")
     flat = E.flat_batches(E.batch_offsets(df, F.size("tokens"))).first()
     assert flat["offsets"] == [0, 2, 2] and flat["tokens"] == ["0", "0", "2", "2", "2"] and flat["labels"] == [0, 1, 0]
+
+
+def test_terms_are_counted_in_the_row(spark):
+    df = spark.createDataFrame([("1", list("abacab")), ("2", []), ("3", ["x"])], "pid string, w array<string>")
+    got = sorted((tuple(r) for r in E.term_rows(df, F.col("w"), ["pid"]).collect()), key=str)
+    assert got == [("1", "a", 3), ("1", "b", 2), ("1", "c", 1), ("2", None, None), ("3", "x", 1)]
+
+
+def test_scores_do_not_depend_on_how_weights_are_joined(spark, screening):
+    want = {r["pid"]: r["logit"] for r in screening.predictions().collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        got = {r["pid"]: r["logit"] for r in screening.predictions().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
