@@ -7,16 +7,44 @@ but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieve.llm import mixing
+from sieve.llm import language, minhash, mixing, pseudonyms
 from sieve.llm.bpe import round_trip
 from sieve.llm.common import prepared
-from sieve.llm.queries import tokenizer
+from sieve.llm.queries import PSEUDONYM_KEY, tokenizer
 from sieve.operators.spool import spool
 
 
+SIMILARITY = 80  # per cent of shared five-word shingles from which documents are near copies
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain enough; the others go, and so do those without letters."""
+    prepared(spark)
+    model = language.fit_texts(docs, "lang")
+    found = language.identified(docs, model, declared=F.col("lang"), host=F.col("source"))
+    return found.filter("accepted").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    prepared(spark)
+    return minhash.deduplicated(docs, SIMILARITY)
+
+
+def protect_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced in the texts; ``n_chars`` follows the text."""
+    prepared(spark)
+    found = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY, count="_n_values")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document as the targets of its source demand."""
+    """Copies of each document as the target of its source demands."""
+    prepared(spark)
     plan = mixing.planned(docs)
     return mixing.emitted(plan, docs.columns)
 
@@ -27,6 +55,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("near-dedup", drop_near_copies),
+    ("PII", protect_persons),
     ("mixing sources", mix_sources),
     ("byte-level BPE", encode),
 ]

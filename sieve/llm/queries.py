@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bpe, mixing, sharding
+from sieve.llm import bpe, language, minhash, mixing, pseudonyms, sharding
 from sieve.llm.common import documents, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,42 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+# An example key; a user passes a secret one.
+PSEUDONYM_KEY = b"example key of the test queries"
+
+
+@query("op3_languages")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3: language of every document from its text, its catalogue entry and the habits of its source."""
+    docs = documents(spark, sf_dir)
+    model = language.fit_texts(docs, "lang")
+    return language.identified(docs, model, declared=F.col("lang"), host=F.col("source"), keep=["doc_id", "lang", "source"])
+
+
+@query("page_languages")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3 over web pages: visible text, the language the markup declares, address suffix and host."""
+    model = language.fit_texts(documents(spark, sf_dir), "lang")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
+    host = F.when(host != "", host)
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2,3})", 1))
+    visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    return language.identified(
+        pages, model, text=visible, declared=F.when(declared != "", declared), suffix=F.substring_index(host, ".", -1), host=host,
+        keep=["page_id", "url"],
+    )
+
+
+@query("op5_circulant_minhash")
+def circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 5: components of documents with a Jaccard similarity of 0.85 or more on five-word shingles."""
+    return minhash.clustered(documents(spark, sf_dir), 85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op10_pseudonyms")
+def pseudonymised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 10: every document with validated personal data replaced by pseudonyms of the same format."""
+    return pseudonyms.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
