@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bpe, language, minhash, mixing, pseudonyms, sharding
+from sieve.llm import bpe, language, lattice, minhash, mixing, pseudonyms, sharding
 from sieve.llm.common import documents, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,11 @@ def circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pseudonymised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 10: every document with validated personal data replaced by pseudonyms of the same format."""
     return pseudonyms.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+@query("op1_subword_lattice")
+def subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1: log10 probability of every whole text, learned from six sevenths of the documents."""
+    import public_tokenizers
+
+    return lattice.scored(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
