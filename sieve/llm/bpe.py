@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 # White space splits alike for every piece: a run of other characters takes one blank in front.
 _CHUNKS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-REMEMBERED = 250_000  # chunks, and as many before them, and pairs of tokens that a worker remembers
+REMEMBERED = 500_000  # pieces and pairs of tokens that a worker remembers at least
 CACHED_CHARS = 64  # longer chunks are encoded each time
 
 
@@ -37,6 +39,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memory:
+    """The latest entries, and those found among them again: between ``size`` and twice as many."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Coder:
     """Encoder and decoder for one vocabulary; built once per Python worker."""
 
@@ -46,6 +66,11 @@ class Coder:
 
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.size_of = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.size_of[i] = len(b)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.size_of))), np.uint8)
         self.words = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.words.add_word(token.decode("latin-1"), rank)
@@ -54,13 +79,12 @@ class Coder:
         self.shorter = {i: self._longest_prefix(b) for i, b in self.bytes_of.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self._take_apart(token, rank)
         own_space = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.pieces = regex.compile(own_space)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces_seen, self.chunks_seen = Memory(REMEMBERED), Memory(REMEMBERED // 2)
 
     def _longest_prefix(self, token: bytes) -> int | None:
         for end in range(len(token) - 1, 0, -1):
@@ -105,31 +129,49 @@ class Coder:
                     return True
                 left = last
 
+    def _fit(self, left: int, right: int) -> bool:
+        fits = self.fits
+        if len(fits) >= REMEMBERED:
+            fits.clear()
+        fit = fits[left << 32 | right] = self._may_meet(left, right)
+        return fit
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """The tokens that the merges leave of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        text, size, lengths, shorter, fits = piece.decode("latin-1"), len(piece), self.lengths, self.shorter, self.fits
-        dead: set[int] = set()
-        out: list[int] = []
-        matches = self.words.iter_long(text)  # after a longest match, the next one starts where it ends
-        at, follows, token = 0, True, next(matches)[1]
+        text, longest, lengths, fits = piece.decode("latin-1"), self.words.iter_long, self.lengths, self.fits.get
+        # Take longest matches one after the other as long as they fit.
+        matches = longest(text)
+        last = next(matches)[1]
+        out = [last]
+        for end, token in matches:
+            fit = fits(last << 32 | token)
+            if fit is None:
+                fit = self._fit(last, token)
+            if not fit:
+                break
+            out.append(token)
+            last = token
+        else:
+            return out
+        # Search on from the first that does not.
+        size, shorter, dead = len(piece), self.shorter, set()
+        at = end + 1 - lengths[token]
+        token = shorter[token]
         while True:
             while token is not None:
                 end = at + lengths[token]
                 if end not in dead:
                     if not out:
                         break
-                    pair = (out[-1], token)
-                    fit = fits.get(pair)
+                    fit = fits(out[-1] << 32 | token)
                     if fit is None:
-                        if len(fits) >= REMEMBERED:
-                            fits.clear()
-                        fit = fits[pair] = self._may_meet(*pair)
+                        fit = self._fit(out[-1], token)
                     if fit:
                         break
-                token, follows = shorter[token], False
+                token = shorter[token]
             if token is None:  # nothing fits here: take the last token back and try a shorter one
                 dead.add(at)
                 token = out.pop()
@@ -140,33 +182,47 @@ class Coder:
             at = end
             if at == size:
                 return out
-            if not follows:
-                matches, follows = self.words.iter_long(text, at), True
-            token = next(matches)[1]
+            token = next(longest(text, at))[1]
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids as packed integers."""
+        ids = self.pieces_seen.get(piece)
+        if ids is None:
+            ids = array("i", self.encode_piece(piece.encode())).tobytes()
+            if len(piece) <= CACHED_CHARS:
+                self.pieces_seen.put(piece, ids)
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        """A chunk's ids as packed integers: from the older half of the cache, or encoded."""
-        ids = self.older.get(chunk)
+        """A chunk's ids: that of its pieces, one after the other."""
+        # Latin letters alone, with or without a blank in front, are one piece.
+        if chunk.isascii() and chunk.lstrip(" ").isalpha():
+            return self._piece(chunk)
+        ids = self.chunks_seen.get(chunk)
         if ids is None:
-            ids = np.array(
-                [i for piece in self.pieces.findall(chunk) for i in self.encode_piece(piece.encode())], np.int32
-            ).tobytes()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.cache) >= REMEMBERED:
-                self.older, self.cache = self.cache, {}
-            self.cache[chunk] = ids
+            ids = b"".join([self._piece(piece) for piece in self.pieces.findall(chunk)])
+            if len(chunk) <= CACHED_CHARS:
+                self.chunks_seen.put(chunk, ids)
         return ids
 
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as packed 32-bit integers."""
-        get, miss = self.cache.get, self._chunk
-        return b"".join([get(chunk) or miss(chunk) for chunk in _CHUNKS.findall(text)])
+        pieces, chunks, slow = self.pieces_seen.young.get, self.chunks_seen.young.get, self._chunk
+        return b"".join([pieces(chunk) or chunks(chunk) or slow(chunk) for chunk in _CHUNKS.findall(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
+    def decode_all(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's bytes begin (and the last one's end)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size_of) or not self.size_of[ids].all()):
+            raise KeyError("an id is not in the vocabulary")
+        sizes = self.size_of[ids]
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        return self.all_bytes[np.repeat(self.start_of[ids] - places[:-1], sizes) + np.arange(places[-1])].tobytes(), places
+
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all(np.array(list(ids), np.int64))[0]
 
 
 _coders: dict[object, Coder] = {}
@@ -214,7 +270,11 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         c = vocabulary.coder()
-        return pa.array([None if x is None else c.decode(x) for x in lists.to_pylist()], pa.binary())
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())])
+        raw, places = c.decode_all(lists.flatten().to_numpy())
+        bounds = places[ends]
+        none = lists.is_null().to_pylist()
+        return pa.array([None if x else raw[a:b] for x, a, b in zip(none, bounds[:-1], bounds[1:])], pa.binary())
 
     return df.withColumn(out, decode(F.col(ids)))
 
