@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sieve.operators.spool import spool
 
-ROUNDS = 2  # rounds of expectation maximisation
-PRIOR = 3000.0  # training pieces that the stored scores count as
+ROUNDS = 3  # rounds of expectation maximisation
+PRIOR = 300.0  # training pieces that the stored scores count as
 END = 0.01  # share of the end of a text where no training text tells
 UNIT = 1e-9  # log10 probabilities of words are summed as integers of this unit, so any order gives the same sum
 HOT = 200_000  # words with more than this fraction of the tokens go to every task: fewer than HOT

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bpe, language, lattice, minhash, mixing, pseudonyms, sharding
+from sieve.llm import bpe, language, lattice, minhash, mixing, pseudonyms, sharding, spotsigs
 from sieve.llm.common import documents, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,20 @@ def subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return lattice.scored(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_spot_signatures")
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 4: fingerprints of every text and of its edited text, and how near they are to each other."""
+    beside = spotsigs.beside_next(documents(spark, sf_dir))
+    own, edited = F.col("signatures"), F.col("edited_signatures")
+    return beside.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(own).alias("fingerprint"),
+        spotsigs.fingerprint(edited).alias("edited_fingerprint"),
+        spotsigs.likeness(own, edited).alias("near_edited"),
+        spotsigs.likeness(own, F.col("next_signatures")).alias("near_next"),
+        "next_doc_id",
+    )
