@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bpe, language, lattice, minhash, mixing, pseudonyms, sharding, spotsigs
-from sieve.llm.common import documents, text_or_empty
+from sieve.llm import bitsliced, bpe, language, lattice, minhash, mixing, pseudonyms, sharding, spotsigs
+from sieve.llm.common import documents, prepared, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +181,19 @@ def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(own, F.col("next_signatures")).alias("near_next"),
         "next_doc_id",
     )
+
+
+@query("op7_bit_sliced_top_k", """WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5""")
+def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 7: the five best rows by inner product for every row whose id is divisible by 50."""
+    rows = prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return bitsliced.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
