@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepared(spark)
     model = language.fit_texts(docs, "lang")
     found = language.identified(docs, model, declared=F.col("lang"), host=F.col("source"))
-    return found.filter("accepted").select(*docs.columns)
+    return found.filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,7 +109,7 @@ def identified(
     min_posterior: float = MIN_POSTERIOR,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``language``, ``posterior`` and ``accepted``.
+    """``docs`` (or its columns ``keep``) with ``language``, ``posterior`` and ``kept``.
 
     Added columns replace input columns of the same names. ``declared``, ``suffix`` and ``host`` are
     expressions over ``docs``; null means no such evidence. A null text counts as empty and is
@@ -185,10 +185,10 @@ def identified(
     mass = F.aggregate(post, F.lit(0.0), lambda s, x: s + F.exp(x - best))
     names_column = F.array(*[F.lit(x) for x in names]) if k else F.array().cast("array<string>")
     language = F.get(names_column, (F.array_position(post, best) - 1).cast("int"))
-    columns = [c for c in (keep or docs.columns) if c not in ("language", "posterior", "accepted")]
+    columns = [c for c in (keep or docs.columns) if c not in ("language", "posterior", "kept")]
     return rows.select(
         *columns,
         language.alias("language"),
         F.coalesce(1.0 / mass, F.lit(0.0)).alias("posterior"),
-        F.coalesce(1.0 / mass >= min_posterior, F.lit(False)).alias("accepted"),
+        F.coalesce(1.0 / mass >= min_posterior, F.lit(False)).alias("kept"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bitsliced, bpe, language, lattice, minhash, mixing, pseudonyms, sharding, spotsigs
+from sieve.llm import bitsliced, bpe, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs
 from sieve.llm.common import documents, prepared, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,15 @@ def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 7: the five best rows by inner product for every row whose id is divisible by 50."""
     rows = prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return bitsliced.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
+@query("op6_ordinal_quality")
+def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 6: expected grade of every document; ratings: 0 toxic, 1 of low quality, 2 good."""
+    docs = documents(spark, sf_dir)
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") + 1)
+    ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", grade.alias("grade"))
+    model = ordinal.fit_ratings(docs, ratings)
+    found = ordinal.graded(docs.select("doc_id", "text"), model)
+    tails = [F.col("at_least")[g].alias(f"at_least_{g}") for g in model.grades[1:]]
+    return found.select("doc_id", "expected_grade", *tails, "kept")
