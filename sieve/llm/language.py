@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieve.llm.common import free_name, text_or_empty
+from sieve.llm.common import text_or_empty
 from sieve.operators.spool import lookup, spool
 
 SLOTS = 2**15  # hashed trigrams of bytes
@@ -119,26 +119,32 @@ def identified(
     """
     names = list(model.languages)
     k = len(names)
+    if not k:  # nothing to choose from
+        columns = [c for c in (keep or docs.columns) if c not in ("language", "posterior", "kept")]
+        return docs.select(*columns, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
+    u = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no input column begins like this
+    ll, d_, s_, h_, p_ = (f"{u}{x}" for x in ("logs", "declared", "suffix", "host", "domain"))
     none = F.lit(None).cast("string")
     body = text_or_empty(text) if isinstance(text, str) else F.coalesce(text, F.lit(""))
-    scored = docs.withColumn(ll := free_name(docs, "_ll"), model.log_likelihoods(body))
-    for name, value in (("_declared", declared), ("_suffix", suffix), ("_host", host)):
-        scored = scored.withColumn(name, none if value is None else value.cast("string"))
-    scored = scored.withColumn("_domain", parent_host(F.col("_host")))
+    evidence = {d_: declared, s_: suffix, h_: host}
+    scored = docs.withColumns({
+        ll: model.log_likelihoods(body), **{c: none if e is None else e.cast("string") for c, e in evidence.items()}
+    })
+    scored = scored.withColumn(p_, parent_host(F.col(h_)))
     top = F.array_max(ll)
     said = F.when(F.size(ll) > 0, F.array_position(ll, top) - 1).cast("int")  # by the text alone
 
     # What the texts say, counted per host, domain, declaration and suffix: sums of one pass.
-    counted = scored.select("_declared", "_suffix", "_host", "_domain", said.alias("said")).filter("said is not null")
+    counted = scored.select(d_, s_, h_, p_, said.alias("said")).filter("said is not null")
     levels = F.array(
         F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")),
-        F.struct(F.lit("host").alias("kind"), F.col("_host").alias("value")),
-        F.struct(F.lit("domain").alias("kind"), F.col("_domain").alias("value")),
-        F.struct(F.lit("declared").alias("kind"), F.col("_declared").alias("value")),
-        F.struct(F.lit("suffix").alias("kind"), F.col("_suffix").alias("value")),
+        F.struct(F.lit("host").alias("kind"), F.col(h_).alias("value")),
+        F.struct(F.lit("domain").alias("kind"), F.col(p_).alias("value")),
+        F.struct(F.lit("declared").alias("kind"), F.col(d_).alias("value")),
+        F.struct(F.lit("suffix").alias("kind"), F.col(s_).alias("value")),
     )
     # Count equal combinations first, so what is exploded and shuffled does not grow with the rows of a host.
-    combined = counted.groupBy("_declared", "_suffix", "_host", "_domain", "said").agg(F.count("*").alias("n"))
+    combined = counted.groupBy(d_, s_, h_, p_, "said").agg(F.count("*").alias("n"))
     tally = spool(
         combined.select(F.inline(levels), "said", "n").filter("value is not null")
         .groupBy("kind", "value").agg(*[F.sum(F.when(F.col("said") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(k)]),
@@ -158,15 +164,15 @@ def identified(
 
     rows = scored
     for table, column, given in (
-        (prior("host", "_host"), "_host", host), (prior("domain", "_domain"), "_domain", host),
-        (agreement("declared", "_declared"), "_declared", declared), (agreement("suffix", "_suffix"), "_suffix", suffix),
+        (prior("host", h_), h_, host), (prior("domain", p_), p_, host),
+        (agreement("declared", d_), d_, declared), (agreement("suffix", s_), s_, suffix),
     ):
         if given is None:
             rows = rows.withColumn(f"{column}_n", F.lit(None).cast("array<double>"))
         else:
             size = F.aggregate(f"{column}_n", F.lit(0.0), lambda s, x: s + F.abs(x))
-            dim = spool(table.withColumn("_n", size), "dim")
-            rows = lookup(rows, dim, [column], "left", spread=ll, weight="_n").drop("_n")
+            dim = spool(table.withColumn(f"{u}n", size), "dim")
+            rows = lookup(rows, dim, [column], "left", spread=ll, weight=f"{u}n").drop(f"{u}n")
 
     def smoothed(own: str, i: int, above: Column) -> Column:
         """The share of language i in a group, the text in question left out, drawn to the group above."""
@@ -177,13 +183,13 @@ def identified(
 
     logs = []
     for i in range(k):
-        p = smoothed("_host_n", i, smoothed("_domain_n", i, F.lit(overall[i])))
-        given = [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for c in ("_declared_n", "_suffix_n")]
+        p = smoothed(f"{h_}_n", i, smoothed(f"{p_}_n", i, F.lit(overall[i])))
+        given = [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for c in (f"{d_}_n", f"{s_}_n")]
         logs.append(F.get(ll, F.lit(i)) + F.log(p) + given[0] + given[1])
-    rows = rows.withColumn(post := free_name(rows, "_post"), F.when(F.size(ll) > 0, F.array(*logs) if k else F.lit(None)))
+    rows = rows.withColumn(post := f"{u}post", F.when(F.size(ll) > 0, F.array(*logs)))
     best = F.array_max(post)
     mass = F.aggregate(post, F.lit(0.0), lambda s, x: s + F.exp(x - best))
-    names_column = F.array(*[F.lit(x) for x in names]) if k else F.array().cast("array<string>")
+    names_column = F.array(*[F.lit(x) for x in names])
     language = F.get(names_column, (F.array_position(post, best) - 1).cast("int"))
     columns = [c for c in (keep or docs.columns) if c not in ("language", "posterior", "kept")]
     return rows.select(

@@ -83,17 +83,17 @@ def planned(
     """
     added = ("size", "source_size", "target", "rate", "copies")
     sized = df.withColumn("size", word_count(text_or_empty(text)))
-    key, u = free_name(sized, "_key"), free_name(sized, "_draw")
+    key, u, weight = (free_name(sized, x) for x in ("_key", "_draw", "_n_docs"))
     sized = sized.withColumn(key, source_key(source)).withColumn(u, draw(seed, doc_id, text))
     per_source = sized.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     dim = spool(
         targets(spool(per_source, "sources").df, weights, max_rate).select(
-            F.col("key").alias(key), "source_size", "target", "rate", F.col("n_docs").alias("_n_docs")
+            F.col("key").alias(key), "source_size", "target", "rate", F.col("n_docs").alias(weight)
         ),
         "targets",
     )
     columns = [c for c in (keep or df.columns) if c not in added]
-    rows = lookup(sized.select(*columns, "size", key, u), dim, [key], "left", spread=u, weight="_n_docs")
+    rows = lookup(sized.select(*columns, "size", key, u), dim, [key], "left", spread=u, weight=weight)
     whole = F.floor("rate")
     extra = (F.col(u) < F.col("rate") - whole).cast("bigint")
     return rows.withColumn("copies", (whole + extra).cast("bigint")).select(*columns, *added)

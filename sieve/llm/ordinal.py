@@ -21,8 +21,8 @@ from sieve.operators.spool import lookup, spool
 
 SLOTS = 2**18  # hashed features; the space does not depend on the vocabulary
 SAMPLE = 10_000  # rated rows the model is fitted on, in expectation, chosen by hash; whole texts
-EPOCHS = 10
-RATE = 0.02
+EPOCHS = 30
+RATE = 0.005
 DECAY = 1e-4
 STRENGTH = 10.0  # average rows that a feature's own are added to before its odds are judged
 TOGETHER = 32  # rows per step of the fit
