@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from sieve.functions.numeric import sigmoid
 from sieve.functions.text import SPACE, is_word, lower_tokens, tokens
 from sieve.operators.encoding import long_tokens, term_rows
-from sieve.operators.model import CLASS_NAMES, TokenModel, verdict, weigh
-from sieve.operators.ranking import SEED, seeded_order, top_per_group
+from sieve.operators.model import CLASS_NAMES, TokenModel, exact_sum, verdict, weigh
+from sieve.operators.ranking import SEED, quota_cut, top_per_group, within_cut
 from sieve.operators.spool import lookup, spool
 
 _ARTICLE = ["topic_id", "pid"]
@@ -23,6 +24,22 @@ def attributions(rows: DataFrame, model: TokenModel, carry: Sequence[str] = ())
     return weigh(long_tokens(rows, carry=carry), model).withColumnRenamed("weight", "value")
 
 
+def judged_tokens(rows: DataFrame, model: TokenModel) -> DataFrame:
+    """The long table with each article's verdict: the lists of the records taken apart again, so the
+    verdict travels with the article and no token is shuffled for it."""
+    records = explanation_records(rows, model)
+
+    def entries(field: str) -> Column:
+        parts = F.arrays_zip(F.col(f"{field}_expl.tokens").alias("token"), F.col(f"{field}_expl.scores").alias("pair"))
+        return F.transform(parts, lambda p, i: F.struct(
+            F.lit(field).alias("field"), i.cast("bigint").alias("pos"), p["token"].alias("token"), F.get(p["pair"], F.lit(1)).alias("value")
+        ))
+
+    none = F.array().cast("array<struct<field: string, pos: bigint, token: string, value: double>>")
+    both = F.concat(*[F.coalesce(entries(f), none) for f in ("title", "abstract")])
+    return records.select(*_ARTICLE, "verdict", F.inline(both))
+
+
 def background_attributions(rows: DataFrame, model: TokenModel, background: DataFrame, n: int = 100,
                             seed: int | str = f"{SEED}:background") -> DataFrame:
     """Attribution relative to the mean of at most ``n`` background articles per topic.
@@ -31,11 +48,13 @@ def background_attributions(rows: DataFrame, model: TokenModel, background: Data
     share one row with a null token, so the values add up to f(article) - f(background mean)
     without a row for each of them.
     """
-    sample = top_per_group(background, ["topic_id"], [seeded_order(seed)], n)
+    # Which articles is decided on ids alone; the texts of the few that are drawn are fetched where they lie.
+    cut = quota_cut(background, ["topic_id"], lambda h: h.withColumn("draw", F.lit(n)), ["draw"], seed)
+    sample = within_cut(background, cut, ["topic_id"], "draw", seed)
     words = F.concat(*[lower_tokens(F.coalesce(F.col(f), F.lit(""))) for f in ("title", "abstract")])
     sizes = sample.groupBy("topic_id").agg(F.count("*").alias("_docs"))
     counts = sample.select("topic_id", F.explode(words).alias("token")).groupBy("topic_id", "token").count()
-    means = counts.join(sizes, "topic_id").select(
+    means = lookup(counts, sizes, ["topic_id"], "inner", spread="token").select(
         "topic_id", "token", (F.col("count") / F.col("_docs")).alias("mean")
     )
     dim = model.weights.df.join(means, ["topic_id", "token"], "left").select(
@@ -131,21 +150,24 @@ def top_contributions(long: DataFrame, n: int = 5) -> DataFrame:
     return best.select(*_ARTICLE, F.col("rank").cast("bigint").alias("rank"), "token", "value")
 
 
-def explanation_records(long: DataFrame, articles: DataFrame, priors: DataFrame) -> DataFrame:
-    """One raw explanation per article, with its verdict.
+def explanation_records(rows: DataFrame, model: TokenModel) -> DataFrame:
+    """One raw explanation per row (topic_id, pid, title, abstract), with its verdict.
 
-    ``articles`` brings topic_id, pid, title, abstract. A list is as long as the text. The values
-    and the topic's prior add up to the logit, so the texts are tokenised and weighed once for
-    explanation and verdict together.
+    A list is as long as the text. The values and the topic's prior add up to the logit, so the texts
+    are tokenised and weighed once for explanation and verdict together. Rows that repeat their keys
+    are explained one by one: copies with the same text share an explanation, which is made once.
     """
+    rows = rows.select(*_ARTICLE, "title", "abstract", F.xxhash64("title", "abstract").alias("_text"))
+    long = attributions(rows.withColumn("_row", F.monotonically_increasing_id()), model, carry=["_row", "_text"])
     entry = F.struct("pos", "token", "value")
-    listed = long.groupBy(*_ARTICLE).agg(
+    same = [*_ARTICLE, "_text"]
+    listed = long.groupBy("_row", *same).agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("field") == f, entry))).alias(f"_{f}")
             for f in ("title", "abstract")
         ],
-        F.sum("value").alias("_sum"),
-    )
+        exact_sum(F.col("value")).alias("_sum"),
+    ).dropDuplicates(same)
 
     def explanation(entries: str) -> Column:
         return F.struct(
@@ -156,7 +178,9 @@ def explanation_records(long: DataFrame, articles: DataFrame, priors: DataFrame)
 
     found = F.col("_title").isNotNull()
     logit = F.col("prior") + F.coalesce("_sum", F.lit(0.0))
-    return lookup(articles.join(listed, _ARTICLE, "left"), priors, ["topic_id"], "left").select(
+    listed = listed.select(*[F.col(c).alias(f"_of_{c}") for c in same], "_title", "_abstract", "_sum")
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in same])
+    return lookup(rows.join(listed, alike, "left"), model.priors, ["topic_id"], "left").select(
         *_ARTICLE, "title", "abstract", verdict(sigmoid(logit)).alias("verdict"),
         F.when(found, explanation("_title")).alias("title_expl"),
         F.when(found, explanation("_abstract")).alias("abstract_expl"),

@@ -26,8 +26,10 @@ LABEL_NAMES = {"LABEL_0": "Irrelevant", "LABEL_1": "Relevant"}
 CLASS_NAMES = ("Irrelevant", "Relevant")
 ERROR = "Error"
 # Stored weights are rounded, so that equal evidence gives equal weights on every cluster and
-# rankings by weight break ties the same way.
+# rankings by weight break ties the same way. Sums of weights are sums of whole units, so they do
+# not depend on the order of adding, and a logit is the same wherever it is computed.
 WEIGHT_DIGITS = 6
+_UNIT = 10**WEIGHT_DIGITS
 
 
 @dataclass(frozen=True)
@@ -66,13 +68,22 @@ def train_token_model(train: DataFrame, fields: Sequence[str] = ("title", "abstr
     return TokenModel(Spooled(weights, counts.path, counts.bytes), priors)
 
 
-def weigh(tokens: DataFrame, model: TokenModel, key: Column | None = None) -> DataFrame:
+def units(value: Column) -> Column:
+    return F.round(value * _UNIT).cast("bigint")
+
+
+def exact_sum(value: Column, n: Column | int = 1) -> Column:
+    """The sum of ``n`` times a weight."""
+    return F.sum(units(value) * n) / _UNIT
+
+
+def weigh(tokens: DataFrame, model: TokenModel, key: Column | None = None, spread: str = "pid") -> DataFrame:
     """Adds each token occurrence's weight; tokens the model does not know weigh nothing."""
     key = F.lower("token") if key is None else key
     dim = model.weights.df.withColumnRenamed("token", "_key").withColumnRenamed("n", "_n")
     out = lookup(
         tokens.withColumn("_key", key), Spooled(dim, model.weights.path, model.weights.bytes),
-        ["topic_id", "_key"], "left", weight="_n",
+        ["topic_id", "_key"], "left", spread=spread, weight="_n",
     )
     return out.withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("_key", "_n")
 
@@ -81,23 +92,25 @@ def score(rows: DataFrame, model: TokenModel, keys: Sequence[str] = ("topic_id",
           carry: Sequence[str] = (), fields: Sequence[str] = ("title", "abstract")) -> DataFrame:
     """Logit and probability per row; null where the topic has no model.
 
-    After a broadcast of the weights all tokens of an article sit in one task, and the sum
-    shuffles one partial row per article. A larger model is joined by shuffle, so there each text
-    first counts its own tokens.
+    Rows that repeat their keys are scored one by one. After a broadcast of the weights all tokens
+    of an article sit in one task, and the sum shuffles one partial row per article. A larger model
+    is joined by shuffle, so there each text first counts its own tokens.
     """
     words = F.concat(*[lower_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # lives within this one plan
+    group = ["_row", *keys, *carry]
     if model.weights.bytes <= broadcast_limit(rows.sparkSession):
-        tokens = rows.select(*keys, *carry, F.explode_outer(words).alias("token"), F.lit(1).alias("n"))
+        tokens = rows.select(*group, F.explode_outer(words).alias("token"), F.lit(1).alias("n"))
     else:
-        tokens = term_rows(rows, words, [*keys, *carry])
-    found = weigh(tokens, model, F.col("token"))
-    evidence = found.groupBy(*keys, *carry).agg(F.sum(F.col("weight") * F.coalesce("n", F.lit(0))).alias("_sum"))
+        tokens = term_rows(rows, words, group)
+    found = weigh(tokens, model, F.col("token"), spread="_row")
+    evidence = found.groupBy(*group).agg(exact_sum(F.col("weight"), F.coalesce("n", F.lit(0))).alias("_sum"))
     logit = F.col("prior") + F.col("_sum")
     return (
-        lookup(evidence, model.priors, ["topic_id"], "left")
+        lookup(evidence, model.priors, ["topic_id"], "left", spread="_row")
         .withColumn("logit", logit)
         .withColumn("prob", sigmoid(F.col("logit")))
-        .drop("prior", "_sum")
+        .drop("prior", "_sum", "_row")
     )
 
 

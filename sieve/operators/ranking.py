@@ -8,6 +8,7 @@ under any partitioning, which ``rand(seed)`` does not give.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in the low
 
 
 def seeded_order(seed: int | str = SEED, id_col: str = "pid") -> Column:
-    """A sort key that shuffles: md5 first, the id to settle ties."""
-    ident = F.col(id_col).cast("string")
+    """A sort key that shuffles: md5 first, the id to settle ties. A null id sorts like an empty one."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), ident)), F.lit(":"), ident)
 
 
@@ -33,7 +34,9 @@ def quota_cut(
     seed: int | str = SEED,
     id_col: str = "pid",
 ) -> Spooled:
-    """Per group, the last order key that each quota lets in: keys and one column per quota.
+    """Per group, the last order key that each quota lets in: keys and, per quota, that key and how
+    many of the rows with it are let in (column ``<quota>_copies``), for ids may repeat. A null in
+    a key is a group like others.
 
     A histogram over the leading digits of the order says in which bucket a quota ends, and only
     that bucket is sorted. ``quotas`` adds the columns ``names`` to the histogram (keys, bucket,
@@ -56,10 +59,13 @@ def quota_cut(
         .filter((F.col("_want") > F.col("_upto") - F.col("n")) & (F.col("_want") <= F.col("_upto")))
         .select(*keys, "bucket", "_quota", (F.col("_want") - F.col("_upto") + F.col("n")).alias("_need"))
     )
-    at_edge = lookup(slim, edge, [*keys, "bucket"], "inner", spread="_order")
-    position = F.row_number().over(Window.partitionBy(*keys, "_quota").orderBy("_order"))
-    last = at_edge.withColumn("_position", position).filter(F.col("_position") == F.col("_need"))
-    cuts = [F.max(F.when(F.col("_quota") == q, F.col("_order"))).alias(q) for q in names]
+    at_edge = lookup(slim, edge, [*keys, "bucket"], "inner", spread="_order", null_safe=True)
+    in_order = Window.partitionBy(*keys, "_quota").orderBy("_order")
+    at_edge = at_edge.withColumn("_position", F.row_number().over(in_order)).withColumn("_first", F.rank().over(in_order))
+    last = at_edge.filter(F.col("_position") == F.col("_need"))
+    copies = F.col("_position") - F.col("_first") + 1
+    of = lambda q, c: F.max(F.when(F.col("_quota") == q, c))
+    cuts = [c for q in names for c in (of(q, F.col("_order")).alias(q), of(q, copies).alias(f"{q}_copies"))]
     return spool(last.groupBy(*keys).agg(*cuts), "cut")
 
 
@@ -69,14 +75,24 @@ def flag_cuts(
 ) -> DataFrame:
     """Adds, for each quota of ``cut``, a flag that tells whether the row is within it.
 
-    The rows are not sorted and, while the groups are not very many, not shuffled either.
+    The rows are not sorted and, while the groups are not very many, not shuffled either; only
+    those that share the id at which a quota ends are numbered, by a hash of their content.
     """
-    renamed = cut.df.select(*keys, *[F.col(q).alias(f"_cut_{q}") for q in flags])
-    marked = lookup(rows, Spooled(renamed, cut.path, cut.bytes), list(keys), "left", spread=id_col)
-    order = seeded_order(seed, id_col)
+    columns = rows.columns
+    renamed = cut.df.select(*keys, *[F.col(c).alias(f"_{c}") for q in flags for c in (q, f"{q}_copies")])
+    marked = lookup(rows, Spooled(renamed, cut.path, cut.bytes), list(keys), "left", spread=id_col, null_safe=True)
+    marked = marked.withColumn("_order", seeded_order(seed, id_col))
+    at_end = reduce(lambda a, b: a | b, [F.col("_order") == F.col(f"_{q}") for q in flags])
+    at_end = F.coalesce(at_end, F.lit(False))
+    alike = Window.partitionBy(*keys, "_order").orderBy(F.xxhash64(*columns))
+    numbered = marked.filter(~at_end).withColumn("_copy", F.lit(1)).unionByName(
+        marked.filter(at_end).withColumn("_copy", F.row_number().over(alike))
+    )
     for quota, flag in flags.items():
-        marked = marked.withColumn(flag, F.coalesce(order <= F.col(f"_cut_{quota}"), F.lit(False)))
-    return marked.drop(*[f"_cut_{q}" for q in flags])
+        order, end = F.col("_order"), F.col(f"_{quota}")
+        inside = (order < end) | ((order == end) & (F.col("_copy") <= F.col(f"_{quota}_copies")))
+        numbered = numbered.withColumn(flag, F.coalesce(inside, F.lit(False)))
+    return numbered.select(*columns, *flags.values())
 
 
 def within_cut(
@@ -95,7 +111,8 @@ def ranked(
     """Number all rows from 1 in ``order``, over the table or within each group of ``keys``.
 
     One range sort; the place of a row in its sorted partition plus the sizes of the partitions
-    before it is its rank. ``order`` must be unique, which also keeps the partitions even.
+    before it is its rank. ``order`` should be unique, which also keeps the partitions even; rows that
+    tie in it take numbers one after the other. A null key is a group like others.
     """
     keys = list(keys)
     placed = spool(
@@ -117,7 +134,7 @@ def ranked(
     if not keys:
         return out
     first = out.groupBy(*keys).agg(F.min(name).alias("_first"))
-    out = lookup(out, first, keys, "inner", spread=spread)
+    out = lookup(out, first, keys, "inner", spread=spread, null_safe=True)
     return out.withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
 
 
@@ -126,6 +143,8 @@ def shuffled(
 ) -> DataFrame:
     """Number all rows from 1 in seeded order, over the table or within each group of ``keys``.
 
+    Rows that repeat an id take numbers one after the other; a null key is a group like others.
+
     The leading digits of the order cut every group into even buckets, which are ranked apart;
     the sizes of the buckets before give the rest. Unlike ``ranked`` this stores no rows.
     """
@@ -137,8 +156,9 @@ def shuffled(
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     in_bucket = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_order", *keys))
-    # Beyond a broadcast the ranked rows already lie as this join wants them.
-    placed = keyed.withColumn("_in", in_bucket).join(offsets, [*keys, "_bucket"])
+    offsets = offsets.select(*[F.col(c).alias(f"_of{c}") for c in [*keys, "_bucket"]], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in [*keys, "_bucket"]])
+    placed = keyed.withColumn("_in", in_bucket).join(offsets, same)
     return placed.withColumn(name, F.col("_before") + F.col("_in")).select(*rows.columns, name)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieve.functions.numeric import ceil_share
-from sieve.operators.corpus import misfits
+from sieve.operators.corpus import misfits, not_null, one_per_pid
 from sieve.operators.ranking import SEED, flag_cuts, quota_cut, shuffled, within_cut
 from sieve.operators.spool import spool
 
@@ -51,7 +51,8 @@ def _known_classes(rows: DataFrame) -> DataFrame:
 
 
 def undersample(rows: DataFrame, seed: int | str = SEED, strict: bool = False) -> DataFrame:
-    """Per topic as many irrelevant as relevant rows, drawn without replacement.
+    """Per topic as many irrelevant as relevant rows, drawn without replacement. Rows that repeat an
+    id count one by one; a null topic is a topic like others.
 
     Where the irrelevant rows are fewer, the relevant ones are cut to their number; ``strict``
     raises instead. Grades other than 0 and 1 belong to neither class.
@@ -71,23 +72,33 @@ def stratified_split(rows: DataFrame, seed: int | str = SEED, test_percent: int
     return flag_cuts(rows, cut, CLASS, {"test": "is_test"}, seed)
 
 
-def balanced_split(rows: DataFrame, seed: int | str = SEED, test_percent: int = 25) -> DataFrame:
+def balanced_split(
+    rows: DataFrame, seed: int | str = SEED, test_percent: int = 25, strict: bool = False
+) -> DataFrame:
     """``undersample`` and then ``stratified_split``, with one histogram for both.
 
-    Both draw from the front of the same seeded order. All is decided on keys and ids; the texts
+    ``cut_topics`` names the topics whose relevant rows are cut; ``strict`` refuses them. Both draw from the front of the same seeded order. All is decided on keys and ids; the texts
     are read once, to write the result.
     """
     rows = _known_classes(rows)
     ids = spool(rows.select("pid", *CLASS), "ids").df
 
     def both(histogram: DataFrame) -> DataFrame:
-        return _test_quota(_keep_quota(_with_size(histogram), strict=False), test_percent)
+        return _test_quota(_keep_quota(_with_size(histogram), strict), test_percent)
 
     cut = quota_cut(ids, CLASS, both, ["keep", "test"], seed)
     flagged = flag_cuts(rows, cut, CLASS, {"keep": "_keep", "test": "is_test"}, seed)
     return spool(flagged.filter("_keep").drop("_keep"), "split").df
 
 
+def cut_topics(rows: DataFrame) -> DataFrame:
+    """Topics with fewer irrelevant than relevant rows, and how many relevant ones balancing drops."""
+    sizes = rows.groupBy("topic_id").agg(
+        F.count_if(F.col("relevance") == 0).alias("n_neg"), F.count_if(F.col("relevance") == 1).alias("n_pos")
+    )
+    return sizes.filter("n_neg < n_pos").withColumn("dropped", F.col("n_pos") - F.col("n_neg"))
+
+
 def sample_negatives(
     positives: DataFrame, articles: DataFrame, seed: int | str = SEED, exclude: DataFrame | None = None
 ) -> DataFrame:
@@ -95,28 +106,25 @@ def sample_negatives(
 
     The k-th positive and the k-th drawn misfit, in two independent seeded orders, are paired, so
     every topic gets exactly as many negatives as it has positives. Only ids are ordered and
-    paired; the texts are fetched for the drawn ids alone.
+    paired; the texts are fetched for the drawn ids alone, one article per id.
     """
-    judged = [positives] if exclude is None else [positives, exclude]
-    pool = misfits(articles, *judged).select("pid", F.lit(1).alias("_all"))
-    n = positives.count()
+    texts = ("title", "abstract", "relevance")
+    # Ids and topic columns once, for the count, the exclusion and the hosts.
+    ids = spool(positives.select(*[c for c in positives.columns if c not in texts]), "positives").df
+    judged = [ids] if exclude is None else [ids, exclude]
+    pool = misfits(not_null(articles, "pid"), *judged).select("pid").distinct().withColumn("_all", F.lit(1))
+    n = ids.count()
     cut = quota_cut(pool, ["_all"], lambda h: h.withColumn("draw", F.lit(n)), ["draw"], f"{seed}:misfit")
     drawn = spool(within_cut(pool, cut, ["_all"], "draw", f"{seed}:misfit").select("pid"), "misfits").df
     if drawn.count() < n:
         raise ValueError("not enough misfit articles for the positives")
 
-    texts = ("pid", "title", "abstract", "relevance")
-    topic_cols = [c for c in positives.columns if c not in texts]
     # A pid may be relevant to several topics, so the order of the hosts runs over both.
     host = F.concat_ws("\t", "pid", "topic_id")
     hosts = shuffled(
-        positives.select(host.alias("_host"), *topic_cols), seed=f"{seed}:host", id_col="_host", name="_k"
+        ids.select(host.alias("_host"), *[c for c in ids.columns if c != "pid"]), seed=f"{seed}:host", id_col="_host", name="_k"
     ).drop("_host")
     guests = shuffled(drawn, seed=f"{seed}:misfit", name="_k")
-    negatives = (
-        hosts.join(guests, "_k")
-        .drop("_k")
-        .join(articles.select("pid", "title", "abstract"), "pid")
-        .withColumn("relevance", F.lit(0))
-    )
+    found = one_per_pid(not_null(articles, "abstract").join(drawn, "pid", "left_semi"))
+    negatives = hosts.join(guests, "_k").drop("_k").join(found, "pid").withColumn("relevance", F.lit(0))
     return positives.unionByName(negatives)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what lies in a folder; a folder that is not there has none."""
+    jpath, fs = _file_system(spark, path)
+    return [str(s.getPath()) for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jpath, fs = _file_system(spark, path)
+    fs.delete(jpath, True)
+
+
 def spool(df: DataFrame, name: str = "table") -> Spooled:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
@@ -70,8 +82,7 @@ def spool(df: DataFrame, name: str = "table") -> Spooled:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has spooled. Call it when no result is read any more."""
-    jpath, fs = _file_system(spark, shared_dir(spark))
-    fs.delete(jpath, True)
+    delete(spark, shared_dir(spark))
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -100,6 +111,7 @@ def lookup(
     how: str = "left",
     spread: str = "pid",
     weight: str | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``dim``, which has one row per ``on`` key, whatever the skew of ``rows``.
 
@@ -111,12 +123,21 @@ def lookup(
     limit = broadcast_limit(rows.sparkSession)
     columns = (dim.df if isinstance(dim, Spooled) else dim).columns
     columns = [*rows.columns, *[c for c in columns if c not in on]]
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        if not null_safe:
+            return left.join(right, keys, how).select(*columns)
+        for k in keys:
+            right = right.withColumnRenamed(k, f"_same_{k}")
+        same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+        return left.join(right, reduce(lambda a, b: a & b, same), how).select(*columns)
+
     if not isinstance(dim, Spooled):
         if planned_bytes(dim) <= limit:
-            return rows.join(dim, on, how).select(*columns)
+            return joined(rows, dim, on)
         dim = spool(dim, "dim")
     if dim.bytes <= limit:
-        return rows.join(F.broadcast(dim.df), on, how).select(*columns)
+        return joined(rows, F.broadcast(dim.df), on)
 
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -126,11 +147,14 @@ def lookup(
     else:
         total = dim.df.agg(F.sum(weight)).first()[0] or 0
         is_hot = F.col(weight) * HOT_SHARE > total
-        hot = dim.df.filter(is_hot).select(*on, F.lit(True).alias("_hot"))  # < HOT_SHARE rows
+        hot = dim.df.filter(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in on], F.lit(True).alias("_hot"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in on])
+        # Where null matches nothing, rows with a null key may lie anywhere.
+        anywhere = F.lit(False) if null_safe else reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
         salted_rows = (
-            rows.join(F.broadcast(hot), on, "left")
-            .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-            .drop("_hot")
+            rows.join(F.broadcast(hot), same, "left")  # < HOT_SHARE rows
+            .withColumn("_salt", F.when(F.col("_hot") | anywhere, salt).otherwise(0))
+            .select(*rows.columns, "_salt")
         )
         salted_dim = dim.df.withColumn("_salt", F.explode(F.when(is_hot, copies).otherwise(F.array(F.lit(0)))))
-    return salted_rows.join(salted_dim, [*on, "_salt"], how).select(*columns)
+    return joined(salted_rows, salted_dim, [*on, "_salt"])

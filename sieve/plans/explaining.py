@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieve.operators.attribution import attributions, explanation_records
+from sieve.operators.attribution import explanation_records
 from sieve.operators.corpus import screenable
 from sieve.operators.model import TokenModel
 from sieve.operators.results import article_results
@@ -17,7 +17,7 @@ def explained(rows: DataFrame, model: TokenModel) -> DataFrame:
         "topic_id", "pid", F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("abstract", F.lit("")).alias("abstract"),
     )
-    return explanation_records(attributions(rows, model), rows, model.priors)
+    return explanation_records(rows, model)
 
 
 def readable(rows: DataFrame, model: TokenModel) -> DataFrame:

@@ -36,9 +36,12 @@ class Screening:
         return threshold_sweep(self.predictions())
 
 
-def screen(citations: DataFrame, seed: int = SEED, test_percent: int = 25) -> Screening:
-    """``citations``: topic_id, pid, title, abstract, relevance. Incomplete rows are left out."""
-    split = balanced_split(complete_rows(citations), seed, test_percent)
+def screen(citations: DataFrame, seed: int = SEED, test_percent: int = 25, strict: bool = False) -> Screening:
+    """``citations``: topic_id, pid, title, abstract, relevance. Incomplete rows are left out.
+
+    ``strict`` refuses topics with fewer irrelevant than relevant rows, which are cut otherwise.
+    """
+    split = balanced_split(complete_rows(citations), seed, test_percent, strict)
     return Screening(split, train_token_model(split.filter(~F.col("is_test"))))
 
 

@@ -62,28 +62,39 @@ def _escaped(text: Column) -> Column:
     return text
 
 
-@query("article_xml", with_sql(ARTICLES_SQL, r"""
-SELECT pid, 'compat' AS kind, title || ' ' AS title, md5(' ' || abstract) AS abstract_md5 FROM articles
-UNION ALL SELECT pid, 'stripped', title || ' ' || lang || ' & more', md5(trim(abstract, ' ' || chr(10) || chr(9))) FROM articles"""))
-def article_xml(t: Tables) -> DataFrame:
-    """Gzip XML with inline markup, attributes and a second abstract section."""
-    folder = new_dir(t.spark, "article-xml")
+def article_records(articles: DataFrame, after_title: Column, *keep: str) -> DataFrame:
+    """Each article as one XML record with attributes and two abstract sections; ``after_title`` is markup."""
+    abstract = F.concat(F.lit(" ") if keep == ("lang",) else F.lit(""), _escaped(F.col("abstract")))
     record = F.format_string(
         '<PubmedArticle><MedlineCitation Status="X"><PMID Version="1">%s</PMID><Article>'
-        "<ArticleTitle>%s <i>%s</i> &amp; more</ArticleTitle><Abstract><AbstractText Label=\"A\"> %s</AbstractText>"
+        "<ArticleTitle>%s%s</ArticleTitle><Abstract><AbstractText Label=\"A\">%s</AbstractText>"
         "<AbstractText>Second.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>",
-        "pid", _escaped(F.col("title")), "lang", _escaped(F.col("abstract")),
+        "pid", _escaped(F.col("title")), after_title, abstract,
     )
+    return articles.select("pid", *keep, record.alias("value"))
+
+
+def write_xml(records: DataFrame, folder: str) -> None:
+    """Gzip files of whole documents, as many as the rows have partitions."""
 
     def one_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"value": ["<PubmedArticleSet>"]})
         yield from batches
         yield pd.DataFrame({"value": ["</PubmedArticleSet>"]})
 
-    records = t.articles("lang").repartition(8, "pid").select(record.alias("value"))
     records.mapInPandas(one_document, "value string").write.option("compression", "gzip").text(folder)
-    compat = pubmed.read_articles(t.spark, folder, compat=True).withColumn("kind", F.lit("compat"))
-    plain = pubmed.read_articles(t.spark, folder, stripped=True).withColumn("kind", F.lit("stripped"))
+
+
+@query("article_xml", with_sql(ARTICLES_SQL, r"""
+SELECT pid, 'compat' AS kind, title || ' ' AS title, md5(' ' || abstract) AS abstract_md5 FROM articles
+UNION ALL SELECT pid, 'stripped', title || ' ' || lang || ' & more', md5(trim(abstract, ' ' || chr(10) || chr(9)) || ' Second.') FROM articles"""))
+def article_xml(t: Tables) -> DataFrame:
+    """Gzip XML with inline markup, attributes and a second abstract section."""
+    folder = new_dir(t.spark, "article-xml")
+    lead = F.concat(F.lit(" <i>"), "lang", F.lit("</i> &amp; more"))
+    write_xml(article_records(t.articles("lang"), lead, "lang").select("value"), folder)
+    compat = pubmed.read_articles(t.spark, folder, compat=True)[0].withColumn("kind", F.lit("compat"))
+    plain = pubmed.read_articles(t.spark, folder, stripped=True)[0].withColumn("kind", F.lit("stripped"))
     return compat.union(plain).select("pid", "kind", "title", F.md5("abstract").alias("abstract_md5"))
 
 

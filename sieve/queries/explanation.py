@@ -13,7 +13,7 @@ from sieve.operators.corpus import model_input
 from sieve.operators.model import verdict
 from sieve.operators.ranking import ranked
 from sieve.plans.explaining import readable
-from sieve.plans.screening import Screening, screen
+from sieve.plans.screening import screen
 from sieve.queries.base import (
     ARTICLES_SQL, LONG_SQL, SCORE_SQL, TOKEN_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, query, rounded,
     tokens_sql, with_sql,
@@ -37,12 +37,6 @@ MICRO_SQL = "CAST(CAST(round({v} * 1000000) AS BIGINT) AS VARCHAR)"
 LISTED_SQL = f"token || '=' || {MICRO_SQL.format(v='value')}"
 
 
-def _judged_tokens(s: Screening) -> DataFrame:
-    """The long token table of the test part, with the verdict of each article."""
-    verdicts = s.predictions().select("topic_id", "pid", verdict(F.col("prob")).alias("verdict"))
-    return A.attributions(s.test, s.model).join(verdicts, ["topic_id", "pid"])
-
-
 @query("attributions", with_sql([*TRAIN_SQL, LONG_SQL], """
 SELECT topic_id, pid, field, pos, token, round(value, 6) AS value FROM attributions"""))
 def attributions(t: Tables) -> DataFrame:
@@ -185,7 +179,8 @@ top_words AS (
 @query("top_words", with_sql([*SCORE_SQL, VERDICTS_SQL, TOP_WORDS_SQL], """
 SELECT topic_id, pid, verdict, rank, token, round(value, 6) AS value FROM top_words"""))
 def top_words(t: Tables) -> DataFrame:
-    return A.top_words(_judged_tokens(screen(t.citations()))).withColumn("value", rounded("value"))
+    s = screen(t.citations())
+    return A.top_words(A.judged_tokens(s.test, s.model)).withColumn("value", rounded("value"))
 
 
 @query("top_abs_words", with_sql(SCORE_SQL, f"""

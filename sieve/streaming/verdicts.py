@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sieve.operators.spool import lookup
+from sieve.operators.spool import children, delete, lookup
 
 KEYS = ("topic_id", "article_id")
 
@@ -63,3 +63,27 @@ def stream_verdicts(events: DataFrame, table: str, checkpoint: str, keys: Sequen
 
 def read_verdicts(spark: SparkSession, table: str, keys: Sequence[str] = KEYS) -> DataFrame:
     return latest_verdicts(spark.read.parquet(table).drop("batch_id"), keys)
+
+
+def read_open_verdicts(spark: SparkSession, table: str, reviewer: str = "reviewer") -> DataFrame:
+    """``open_verdicts`` of a stream whose keys are reviewer, topic and article.
+
+    The last verdict per article holds the last time on every topic, so clearing what came before a
+    change of topic needs no more than the table.
+    """
+    return open_verdicts(read_verdicts(spark, table, (reviewer, *KEYS)), reviewer)
+
+
+def compact_verdicts(spark: SparkSession, table: str, keys: Sequence[str] = KEYS) -> None:
+    """Collapse the batches written so far into one folder and delete theirs.
+
+    The collapsed rows are complete before anything is deleted, and reading some rows twice changes
+    nothing, so readers and a broken-off run are safe. Run it between runs of the stream.
+    """
+    batches = sorted(int(p.rsplit("=", 1)[1]) for p in children(spark, table) if "batch_id=" in p)
+    if len(batches) < 2:
+        return
+    target = min(0, *batches) - 1  # ids of the stream are not negative
+    read_verdicts(spark, table, keys).write.mode("errorifexists").parquet(f"{table}/batch_id={target}")
+    for batch in batches:
+        delete(spark, f"{table}/batch_id={batch}")

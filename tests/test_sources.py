@@ -106,22 +106,44 @@ def test_article_xml(spark, tmp_path):
     xml = articles(*[article(k, *v) for k, v in CASES.items()])
     put(tmp_path / "pubmed25n0001.xml.gz", gzip.compress(xml.encode()))
     put(tmp_path / "pubmed25n0002.xml.gz", gzip.compress(articles(article("6", "other", ["z"])).encode()))
-    compat = rows(pubmed.sweep(spark, str(tmp_path), compat=True), "pid")
+    compat = rows(pubmed.sweep(spark, str(tmp_path), compat=True)[0], "pid")
     assert compat == [
         ("1", "T ", "A"), ("2", None, "  padded \n"), ("3", "a & b < c", "first"), ("4", None, None),
         ("5", None, "x "), ("6", "other", "z"),
     ]
-    stripped = rows(pubmed.sweep(spark, str(tmp_path), compat=True, stripped=True), "pid")
+    stripped = rows(pubmed.sweep(spark, str(tmp_path), compat=True, stripped=True)[0], "pid")
     assert [r[1:] for r in stripped][:2] == [("T", "A"), (None, "padded")]
-    whole = rows(pubmed.sweep(spark, str(tmp_path)), "pid")
+    whole = rows(pubmed.sweep(spark, str(tmp_path))[0], "pid")
     assert [r[1] for r in whole] == ["T it tail", "lead x", "a & b < c", None, None, "other"]
-    assert whole[4][2] == "x y"
+    assert whole[4][2] == "x y" and whole[2][2] == "first second"
+    assert pubmed.sweep(spark, str(tmp_path))[1].count() == 0
+
+
+def test_broken_records_take_no_others_along(spark, tmp_path):
+    broken = article("2", "t2", ["b"]).replace("</PubmedArticle>", "</PubmedArticl>")
+    inner = article("4", "t4", ["d"]).replace("</ArticleTitle>", "</Title>")
+    xml = articles(article("1", "t1", ["a"]), broken, article("3", "t3", ["c"]), inner, article("5", "t5", ["e" * 50_000]))
+    put(tmp_path / "batch.xml", xml)
+    found, rejected = pubmed.read_articles(spark, str(tmp_path / "batch.xml"))
+    assert sorted(r["pid"] for r in found.collect()) == ["1", "3", "5"]
+    got = {r["reason"]: r for r in rejected.collect()}
+    assert set(got) == {"record without end", "record does not parse"}
+    assert "t2" in got["record without end"]["content"] and "t4" in got["record does not parse"]["content"]
+    assert all(r["file"].endswith("batch.xml") for r in got.values())
+
+
+def test_drawn_shards_are_read(spark, tmp_path):
+    for i in range(6):
+        put(tmp_path / f"pubmed25n000{i}.xml.gz", gzip.compress(articles(article(str(i), "t", ["a"])).encode()))
+    names = pubmed.shards(spark, 0, 5).filter("shard in (2, 4)")
+    found, rejected = pubmed.read_shards(spark, str(tmp_path), names)
+    assert sorted(r["pid"] for r in found.collect()) == ["2", "4"] and rejected.count() == 0
 
 
 def test_plain_xml_and_flat_records(spark, tmp_path):
     flat = "<Set><PubmedArticle><PMID>7</PMID><Article><ArticleTitle>t</ArticleTitle></Article></PubmedArticle></Set>"
     put(tmp_path / "batch.xml", flat)
-    assert rows(pubmed.read_articles(spark, str(tmp_path / "batch.xml"))) == [("7", "t", None)]
+    assert rows(pubmed.read_articles(spark, str(tmp_path / "batch.xml"))[0]) == [("7", "t", None)]
 
 
 def test_truncated_gzip_keeps_what_came_before(spark, tmp_path):
@@ -133,7 +155,10 @@ def test_truncated_gzip_keeps_what_came_before(spark, tmp_path):
     whole = gzip.compress(articles(*records).encode())
     put(tmp_path / "pubmed25n0001.xml.gz", whole[: len(whole) // 2])
     put(tmp_path / "pubmed25n0002.xml.gz", gzip.compress(articles(article("x1", "t", ["a"])).encode()))
-    found = {r["pid"] for r in pubmed.sweep(spark, str(tmp_path)).collect()}
+    read, rejected = pubmed.sweep(spark, str(tmp_path))
+    found = {r["pid"] for r in read.collect()}
+    broken = [r["file"] for r in rejected.filter("reason = 'file breaks off'").collect()]
+    assert len(broken) == 1 and broken[0].endswith("0001.xml.gz")
     assert "x1" in found
     kept = {p for p in found if p != "x1"}
     assert 50 < len(kept) < 400
