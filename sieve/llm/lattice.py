@@ -207,6 +207,19 @@ def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 32_768) -> Iterator[pa.RecordBatch]:
+    """Words come in small batches, fit for texts; the recursion works on many at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def fitted(words: DataFrame, pieces: list[bytes], prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Log weights of the pieces, from the distinct training words of ``words`` (word, c)."""
     spark = words.sparkSession
@@ -217,9 +230,8 @@ def fitted(words: DataFrame, pieces: list[bytes], prior: np.ndarray, rounds: int
         def expect(batches, shared=shared):
             lattice = Lattice(*shared.value)
             sums = np.zeros(len(lattice.pieces))
-            for batch in batches:
-                if batch.num_rows:
-                    lattice.log_probabilities(batch.column(0).to_pylist(), np.ones(batch.num_rows), sums)
+            for batch in _larger(batches):
+                lattice.log_probabilities(batch.column(0).to_pylist(), np.ones(batch.num_rows), sums)
             used = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(sums[used])], ["piece", "n"])
 
@@ -257,13 +269,13 @@ def scored(docs: DataFrame, vocabulary: str, held: Column | None = None, doc_id:
 
     def weigh(batches):
         lattice = Lattice(*shared.value)
-        for batch in batches:
-            if batch.num_rows:
-                cut = lattice.log_probabilities(batch.column(0).to_pylist()) + math.log(open_share * (1 - END))
-                seen = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / max(n, 1)
-                whole = np.log(seen, out=np.full(len(seen), -np.inf), where=seen > 0)
-                logs = np.logaddexp(whole, cut) / math.log(10)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.rint(logs / UNIT).astype(np.int64))], ["word", "c", "c_all", "score"])
+        for batch in _larger(batches):
+            cut = lattice.log_probabilities(batch.column(0).to_pylist()) + math.log(open_share * (1 - END))
+            seen = np.maximum(batch.column(1).to_numpy() - discount, 0.0) / max(n, 1)
+            whole = np.log(seen, out=np.full(len(seen), -np.inf), where=seen > 0)
+            logs = np.logaddexp(whole, cut) / math.log(10)
+            scores = pa.array(np.rint(logs / UNIT).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], ["word", "c", "c_all", "score"])
 
     weighed = spool(
         counts.mapInArrow(weigh, "word binary, c bigint, c_all bigint, score bigint").withColumn("base", base_of(F.col("c"))),
