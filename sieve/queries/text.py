@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,14 +171,13 @@ SELECT CAST(doc_id AS VARCHAR) AS pid, line_no, md5(line) AS line_md5 FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)""")
 def table_function(t: Tables) -> DataFrame:
-    """A user's generator, several rows out of one, as a table function over the whole table."""
-    from pyspark.sql.functions import udtf
+    """A user's generator, several rows out of one, over Arrow batches of the whole table."""
 
-    @udtf(returnType="line_no bigint, line string")
-    class Lines:
-        def eval(self, text: str):
-            yield from enumerate(text.split("\n"), 1)
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = frame.assign(line=frame["text"].str.split("\n")).explode("line")
+            yield out.assign(line_no=out.groupby(level=0).cumcount() + 1)[["pid", "line_no", "line"]]
 
-    articles = t.articles().withColumn("text", F.col("abstract"))
-    lines = articles.lateralJoin(Lines(F.col("text").outer()))
-    return lines.select("pid", "line_no", F.md5("line").alias("line_md5"))
+    articles = t.articles().select("pid", F.col("abstract").alias("text"))
+    found = articles.mapInPandas(lines, "pid string, line_no bigint, line string")
+    return found.select("pid", "line_no", F.md5("line").alias("line_md5"))

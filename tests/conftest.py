@@ -7,8 +7,9 @@ from sieve.session import get_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session(8, "sieve-tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = get_session(8, "sieve-tests", **{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     release(session)
     session.stop()
