@@ -138,7 +138,7 @@ def single_encoding(t: Tables) -> DataFrame:
 
 
 @query("batch_offsets", with_sql([citations_sql(), f"""placed AS (
-  SELECT topic_id, pid, relevance, {tokens_sql('title')} AS tt,
+  SELECT topic_id, pid, relevance, list_concat({tokens_sql('title')}, {tokens_sql('abstract')}) AS tt,
          row_number() OVER (PARTITION BY topic_id ORDER BY md5('42:' || pid), pid) - 1 AS k FROM citations),
 sized AS (
   SELECT *, k // 16 AS batch_id, coalesce(CAST(sum(len(tt)) OVER (
@@ -149,7 +149,9 @@ SELECT topic_id, batch_id, string_agg(CAST(relevance AS VARCHAR), ',' ORDER BY k
 FROM sized GROUP BY topic_id, batch_id"""))
 def batch_offsets(t: Tables) -> DataFrame:
     ids = batched(t.judgments().select("topic_id", "pid"), 16)
-    rows = t.citations().join(ids, ["topic_id", "pid"]).withColumn("tokens", X.tokens(F.col("title")))
+    rows = t.citations().join(ids, ["topic_id", "pid"]).withColumn(
+        "tokens", F.concat(X.tokens(F.col("title")), X.tokens(F.col("abstract")))
+    )
     flat = E.flat_batches(E.batch_offsets(rows, F.size("tokens")))
     return flat.select(
         "topic_id", "batch_id", F.array_join("labels", ",").alias("labels"),
