@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from sieve.operators.spool import spool
 
 SCALE = 256
-BLOCK = 8192  # rows per block of the index
+BLOCK = 16384  # rows per block of the index
 PACK = 128  # queries that meet a block in one record
-TOGETHER = 16  # queries whose bitmaps are added side by side
+TOGETHER = 4  # queries whose bitmaps are added side by side
 
 
 def usable(vector: Column) -> Column:
@@ -47,16 +47,23 @@ class Block:
     def totals(self, weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Slices of sum(weight * value) + shift for each query (row of ``weights``), lowest first, and the shifts.
 
-        Values are stored as u = value + 2**(bits-1). A negative weight adds the complement of u.
+        Values are stored as u = value + 2**(bits-1). A weight is written with digits 1, 0 and -1 of
+        which no two neighbours differ from 0, so few slices enter; a digit -1 adds the complement of u.
         """
-        size, half = np.abs(weights), 1 << (self.bits - 1)
-        shift = half * weights.sum(axis=1) + (2 * half - 1) * np.where(weights < 0, size, 0).sum(axis=1)
-        first = np.where(weights < 0, self.dims * self.bits, 0) + 1 + np.arange(self.dims) * self.bits
+        half, rest = 1 << (self.bits - 1), weights.copy()
+        shift = half * weights.sum(axis=1)
+        first = 1 + np.arange(self.dims) * self.bits
         columns: dict[int, list[list[int]]] = {}
-        for j in range(int(size.max(initial=0)).bit_length()):
-            for q, d in np.argwhere((size >> j) & 1):
-                for b in range(self.bits):
-                    columns.setdefault(j + b, [[] for _ in weights])[q].append(first[q, d] + b)
+        j = 0
+        while rest.any():
+            digit = np.where(rest % 2 == 1, 2 - rest % 4, 0)
+            rest = (rest - digit) // 2
+            shift = shift + ((2 * half - 1) << j) * (digit < 0).sum(axis=1)
+            for q in range(len(weights)):
+                begins = (first + self.dims * self.bits * (digit[q] < 0))[digit[q] != 0].tolist()
+                for b in range(self.bits if begins else 0):
+                    columns.setdefault(j + b, [[] for _ in weights])[q].extend([x + b for x in begins])
+            j += 1
         out, carried, place = [], None, 0
         empty = np.zeros((len(weights), 0, self.maps.shape[1]), np.uint64)
         while place in columns or any(p > place for p in columns) or carried is not None:
