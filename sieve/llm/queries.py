@@ -146,7 +146,22 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_circulant_minhash")
+@query("op5_circulant_minhash", """WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+each AS (SELECT doc_id, unnest(s) AS x FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sets p ON a = p.doc_id JOIN sets q ON b = q.doc_id WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN pairs ON r = a),
+least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM sets s JOIN least_of l ON s.doc_id = l.doc_id""")
 def circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 5: components of documents with a Jaccard similarity of 0.85 or more on five-word shingles."""
     return minhash.clustered(documents(spark, sf_dir), 85).select("doc_id", "n_shingles", "component_id", "kept")
