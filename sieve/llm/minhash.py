@@ -36,7 +36,7 @@ def bands_for(percent: int) -> int:
 class Shingler:
     """Words to sets of 64-bit shingle hashes. The hashes of words are remembered, up to a limit."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         import xxhash
 
         self.hash, self.known, self.limit = xxhash.xxh3_64_intdigest, {}, limit
@@ -173,7 +173,8 @@ def sketched(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
                 continue
             sig = signature(s, size)
             keys = [xxhash.xxh3_64_intdigest(sig[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - 2**63 for i in range(bands)]
-            rows.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), sig.tobytes(), keys))
+            # One byte of each coordinate is enough to tell how many agree; chance adds one in 256.
+            rows.append((len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), sig.astype(np.uint8).tobytes(), keys))
         kinds = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()))
         return pa.StructArray.from_arrays(
             [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["n", "node", "sig", "bands"]
@@ -185,16 +186,17 @@ def sketched(docs: DataFrame, percent: int, doc_id: str = "doc_id", text: str =
 
 def _in_blocks(nodes: DataFrame) -> DataFrame:
     """Nodes by bucket and pair of blocks: (bucket, lo, hi, block, node, n, sig, bands)."""
-    placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    short = F.xxhash64("node")  # two nodes that share it only meet in more buckets than they must
+    placed = nodes.select(short.alias("id"), F.explode("bands").alias("bucket"))
     held = placed.groupBy("bucket").agg(F.count("*").alias("_size")).filter("_size > 1")
     # Most buckets hold one node; only the others' rows get their signatures back.
     kept = placed.join(held, "bucket").withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int"))
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    kept = kept.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    paired = kept.select("bucket", "block", "node", "n", other.alias("other")).select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n"
+    paired = kept.select("bucket", "block", "id", other.alias("other")).select(
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id"
     )
-    return paired.join(nodes.select("node", "sig", "bands"), "node")
+    return paired.join(nodes.select(short.alias("id"), "node", "n", "sig", "bands"), "id").drop("id")
 
 
 def _by_group(df: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def promising(nodes: DataFrame, percent: int) -> DataFrame:
             a, b = np.nonzero(ok)
             if not len(a):
                 continue
-            sig = np.stack([np.frombuffer(x, np.uint32) for x in t.column("sig").to_pylist()])
+            sig = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()])
             near = np.zeros(len(sig), bool)
             bucket = t.column("bucket")[0].as_py()
             bands = np.array(t.column("bands").to_pylist(), np.int64)
@@ -246,7 +248,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", tex
 
     slim = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     slim = slim.withColumn("rep_hash", F.xxhash64("_text"))
-    found = slim.join(wanted, (slim["rep_hash"] == wanted["rep_hash"]) & slim["_id"].eqNullSafe(wanted["rep_id"]))
+    # Shuffled at every size: what is wanted grows with the documents.
+    found = slim.join(wanted.hint("merge"), (slim["rep_hash"] == wanted["rep_hash"]) & slim["_id"].eqNullSafe(wanted["rep_id"]))
     return found.select("node", full(F.col("_text")).alias("items"))
 
 
@@ -312,5 +315,5 @@ def deduplicated(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", tex
     ).distinct()
     gone = spool(gone, "gone").df
     return docs.join(
-        gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_hash"]), "left_anti"
+        gone.hint("merge"), docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_hash"]), "left_anti"
     )
