@@ -29,7 +29,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 # White space splits alike for every piece: a run of other characters takes one blank in front.
 _CHUNKS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-REMEMBERED = 500_000  # pieces and pairs of tokens that a worker remembers at least
+REMEMBERED = 200_000  # pieces and pairs of tokens that a worker remembers at least
 CACHED_CHARS = 64  # longer chunks are encoded each time
 
 
