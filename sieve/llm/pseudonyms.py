@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from math import isqrt
 
@@ -74,23 +74,45 @@ _CLASS_OF = {c: k for k in _CLASSES for c in k}
 
 _CARD = r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|3\d{3}(?P<gap3>[ -])\d{6}(?P=gap3)\d{5})(?![0-9A-Za-z])"
 _IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
-_PHONE = (
-    r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
-    r"|\+(?!1)\d{2,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)"
-)
 _SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 _IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 _DATE = (
     r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d?/\d\d?/(?:19|20)\d\d|\d\d?\.\d\d?\.(?:19|20)\d\d)(?![\w-]|[./]\d)"
 )
+_GAP = "[ .  ‑-]"
+# A number abroad ends where a blank and another kind of value follow.
+_PHONE = (
+    rf"(?<![\w+])(?:\+1{_GAP}?(?:\(\d{{3}}\)|\d{{3}}){_GAP}?\d{{3}}{_GAP}?\d{{4}}"
+    rf"|\+(?!1)(?:\d{{2,3}}|7)(?:{_GAP}?\(\d{{1,4}}\))?{_GAP}?\d{{1,14}}"
+    rf"(?:(?:[.‑-]|[   ](?!{_IP}|{_DATE}))\d{{1,14}}){{0,12}}"
+    rf"|\(\d{{3}}\){_GAP}?\d{{3}}{_GAP}?\d{{4}}|\d{{3}}(?P<part>{_GAP})\d{{3}}(?P=part)\d{{4}})(?!\d)"
+)
 _NUMBERS = {k: re.compile(p, re.ASCII) for k, p in
             [("card", _CARD), ("phone", _PHONE), ("ssn", _SSN), ("ip", _IP), ("date", _DATE)]}
 _START = re.compile(r"[0-9+(]")  # where one of them can begin; almost all of a text is passed over
 _ACCOUNT = re.compile(_IBAN)
+# Characters of an account number with country and check digits (ISO 13616).
+_LENGTHS = {
+    n: names.split() for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_ACCOUNTS = {
+    name: re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])")
+    for n, names in _LENGTHS.items() for name in names
+}
 _NAME = re.compile(r"[\w.%+-]{1,65}\Z")
 _HOST = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 
 
+def _ends(match: re.Match, gap: str) -> list[int]:
+    """Where a match ends, and where it would without its last group, its last two and so on."""
+    return [match.end(), *(match.start() + g.start() for g in reversed([*re.finditer(rf"(?<=[0-9A-Z]){gap}", match[0])]))]
+
+
 class Pseudonyms:
     """Replaces values; ``back=True`` gives the originals again."""
 
@@ -148,7 +170,7 @@ class Pseudonyms:
         d = re.sub(r"\D", "", s)
         if not 8 <= len(d) <= 15:
             return None
-        code = 0 if s[0] != "+" else 1 if d[0] == "1" else 2
+        code = 0 if s[0] != "+" else 1 if d[0] in "17" else 2
         return self._fill(s, d[:code] + self._digits(f"phone:{d[:code] or 1}", d[code:]))
 
     def _ssn(self, s: str) -> str:
@@ -207,17 +229,35 @@ class Pseudonyms:
             at = text.find("@", at + 1)
         return spans
 
+    def _card_at(self, text: str, at: int) -> bool:
+        v = _NUMBERS["card"].match(text, at)
+        return v is not None and self._replace("card", v[0]) is not None
+
+    def _longest(self, kind: str, text: str, at: int, ends: Iterable[int], end: int) -> tuple[int, int, str] | None:
+        """The first of ``ends`` up to ``end`` at which a value that begins at ``at`` is valid."""
+        for stop in ends:
+            if stop <= end and (new := self._replace(kind, text[at:stop])) is not None:
+                return at, stop, new
+        return None
+
     def _numbers(self, text: str, at: int, end: int) -> tuple[int, int, str] | None:
         """The first value in [at, end): where it begins and ends, and its pseudonym."""
         low = at
         while (m := _START.search(text, at, end)) is not None:
             at = m.start()
-            if at >= low + 2 and text[at - 2 : at].isupper() and (v := _ACCOUNT.match(text, at - 2, end)):
-                if (new := self._replace("iban", v[0])) is not None:
-                    return at - 2, v.end(), new
+            if at >= low + 2 and text[at - 2 : at].isupper() and (v := _ACCOUNT.match(text, at - 2)):
+                own = _ACCOUNTS.get(text[at - 2 : at])
+                first = own.match(text, at - 2) if own else None
+                ends = [first.end()] if first else []
+                if found := self._longest("iban", text, at - 2, [*ends, *_ends(v, " ")], end):
+                    return found
             for kind, pattern in _NUMBERS.items():
-                if (v := pattern.match(text, at)) and v.end() <= end and (new := self._replace(kind, v[0])) is not None:
-                    return at, v.end(), new
+                if v := pattern.match(text, at):
+                    ends = [v.end()]
+                    if kind == "phone":  # a card that follows is no part of the number
+                        ends = sorted(_ends(v, _GAP), key=lambda stop: not self._card_at(text, stop + 1))
+                    if found := self._longest(kind, text, at, ends, end):
+                        return found
             at += 1
         return None
 

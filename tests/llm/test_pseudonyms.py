@@ -68,6 +68,33 @@ def test_neighbours():
     assert n == 4 and Pseudonyms(KEY, back=True).apply(text)[1] == 4
 
 
+@pytest.mark.parametrize("value, after", [
+    ("+33 1 42 68 53 00", ""), ("+33 1 42 68 53 00", " 2024-02-29"), ("+33.1.42.68.53.00", " call"), ("+33\u00a01\u00a042\u00a068\u00a053\u00a000", "."),
+    ("+7 495 123-45-67", ", office"), ("+7 (495) 123-45-67", ""), ("+49 (0)30 1234567", ""), ("212.555.0147", "."), ("212 555 0147", " now"),
+    ("(212) 555 0147", ""), ("+44 20 7946 0958", " 2024 report"), ("+44 20 7946 0958", " 4111 1111 1111 1111"),
+    ("+33 1 42 68 53 00", " 4111 1111 1111 1111"), ("BE68 5390 0754 7034", " THE"), ("BE68 5390 0754 7034", " OK"),
+    ("BE68 5390 0754 7034", " 2024"), ("BE68539007547034", " 2024 OK 12"), ("DE89 3704 0044 0532 0130 00", " AND"), ("XX07 5390 0754 7034", " THE"),
+])
+def test_whole_value_goes_whatever_follows(value, after):
+    text = f"tel {value}{after}"
+    new, n = Pseudonyms(KEY).apply(text)
+    assert n == 1 + (after.count("4111") or after.count("2024-")) and value not in new and Pseudonyms(KEY, back=True).apply(new) == (text, n)
+    alone = Pseudonyms(KEY).apply(value)[0]
+    assert new.startswith(f"tel {alone}") and alone[4:] != value[4:]
+    assert after.count("4111") or after.count("2024-") or new == f"tel {alone}{after}"
+
+
+def test_one_number_with_and_without_gaps():
+    digits = lambda s: "".join(c for c in Pseudonyms(KEY).apply(s)[0] if c.isdigit())
+    assert digits("+7 495 123-45-67") == digits("+74951234567") and digits("212 555 0147") == digits("212-555-0147") == digits("212.555.0147")
+    assert digits("+33 1 42 68 53 00") == digits("+33142685300")
+
+
+def test_long_runs_of_digits_end():
+    for text in ("+" + "2" * 50_000, "+22" + " 1" * 50_000, "+44" + "-2" * 20_000 + "x", "DE89" + " 1111" * 20_000):
+        Pseudonyms(KEY).apply(text)
+
+
 def test_edge_rows(spark):
     data = table(spark)
     out = pseudonymised(data, KEY)
