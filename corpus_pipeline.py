@@ -28,9 +28,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One row of each group of near copies: the one with the smallest id, also where ids repeat or are null."""
     prepared(spark)
-    return minhash.deduplicated(docs, SIMILARITY)
+    return minhash.deduplicated(docs, SIMILARITY, single=True)
 
 
 def protect_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.llm.components import components
-from sieve.operators.spool import lookup, spool
+from sieve.operators.spool import Spooled, lookup, spool
 
 SHINGLE = 5
 ROWS = 5  # coordinates per band
@@ -273,21 +273,17 @@ def linked(rows: DataFrame, percent: int) -> DataFrame:
     return _by_group(rows).mapInArrow(confirm, "u string, v string")
 
 
-def clustered(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
-
-    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of five-word
-    shingles; component_id is the smallest doc_id that links reach. A null, empty or blank text has
-    no shingles and is linked with nothing: its component is its own id. Rows that repeat an id are
-    documents of their own; ``kept`` is true for all rows that hold the component's smallest id. A
-    null id joins components but is never the smallest, and is kept only where all ids are null.
-    """
+def _nodes_and_components(docs: DataFrame, percent: int, doc_id: str, text: str, best: bool = False) -> tuple[DataFrame, Spooled]:
+    """The sketches of all rows, and (node, component_id, n_rows) for the nodes of components with several
+    rows; with ``best`` also the id and text hash of the row that stands for the component."""
     base = spool(sketched(docs, percent, doc_id, text), "sketches").df
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     nodes = spool(
         base.filter("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("least"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("n"),
             F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("rep"),
             F.min_by("sig", "text_hash").alias("sig"), F.min_by("bands", "text_hash").alias("bands"),
+            *([F.min(order).alias("best")] if best else []),
         ),
         "nodes",
     ).df
@@ -297,9 +293,25 @@ def clustered(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
     )
     sets = shingle_sets(docs, wanted, doc_id, text).dropDuplicates(["node"])
     roots = components(linked(near.join(sets, "node"), percent))
-    grouped = nodes.select("node", "least", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n_rows").alias("_n"))
-    dim = spool(grouped.join(least.filter("_n > 1"), "root").select("node", "component_id", "n_rows"), "components")
+    more = ["best"] if best else []
+    grouped = nodes.select("node", "least", "n_rows", *more).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped.groupBy("root").agg(
+        F.min("least").alias("component_id"), F.sum("n_rows").alias("_n"), *[F.min(c).alias(c) for c in more]
+    )
+    dim = grouped.drop(*more).join(least.filter("_n > 1"), "root").select("node", "component_id", "n_rows", *more)
+    return base, spool(dim, "components")
+
+
+def clustered(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
+
+    Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of five-word
+    shingles; component_id is the smallest doc_id that links reach. A null, empty or blank text has
+    no shingles and is linked with nothing: its component is its own id. Rows that repeat an id are
+    documents of their own; ``kept`` is true for all rows that hold the component's smallest id. A
+    null id joins components but is never the smallest, and is kept only where all ids are null.
+    """
+    base, dim = _nodes_and_components(docs, percent, doc_id, text)
     out = lookup(base.select("doc_id", "text_hash", "n_shingles", "node"), dim, ["node"], "left", spread="doc_id", weight="n_rows")
     alone = F.col("n_rows").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -308,12 +320,36 @@ def clustered(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text:
     )
 
 
-def deduplicated(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component."""
-    gone = clustered(docs, percent, doc_id, text).filter("not kept").select(
-        F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")
-    ).distinct()
-    gone = spool(gone, "gone").df
-    return docs.join(
+def deduplicated(
+    docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", single: bool = False
+) -> DataFrame:
+    """The rows of ``docs`` that stay: all ``kept`` rows, or with ``single`` exactly one row of each component.
+
+    That row has the smallest id (a null one only if there is no other), then the smallest text hash,
+    then the smallest hash over all columns. Rows without words are components of their own.
+    """
+    if single:
+        base, dim = _nodes_and_components(docs, percent, doc_id, text, best=True)
+        found = lookup(base.select("doc_id", "text_hash", "node"), dim, ["node"], "inner", spread="text_hash", weight="n_rows")
+        stands = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.hash"))
+        seen = found.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).agg(
+            F.count("*").alias("_times"), F.max(stands).alias("_stands")
+        ).filter("not _stands or _times > 1")
+        gone = spool(seen, "gone")
+        repeated = spool(gone.df.filter("_stands").drop("_stands"), "repeated")
+        gone = gone.df.select("_gone_id", "_gone_hash")
+    else:
+        gone = clustered(docs, percent, doc_id, text).filter("not kept").select(
+            F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")
+        ).distinct()
+        gone, repeated = spool(gone, "gone").df, None
+    stay = docs.join(
         gone.hint("merge"), docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_hash"]), "left_anti"
     )
+    if repeated is None or repeated.df.isEmpty():
+        return stay
+    rows = docs.withColumns({"_gone_id": F.col(doc_id), "_gone_hash": F.xxhash64(text), "_row": F.monotonically_increasing_id()})
+    rows = lookup(rows, repeated, ["_gone_id", "_gone_hash"], "inner", spread="_row", weight="_times", null_safe=True)
+    # Every task hands on one row per key at most, so copies are not gathered.
+    one = rows.groupBy("_gone_id", "_gone_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_one"))
+    return stay.unionByName(one.select(*[F.col("_one")[c].alias(c) for c in docs.columns]))

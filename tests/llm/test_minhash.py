@@ -76,6 +76,26 @@ def test_edge_rows(spark):
     assert minhash.clustered(empty(spark)).count() == 0 and minhash.deduplicated(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", ["10m", "1"])
+def test_one_row_of_each_component(spark, limit):
+    """Ids that repeat with equal, near and different texts, copies under one id, and groups without an id."""
+    base, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    near = base.replace("a59", "x")
+    data = [(5, base, "s"), (5, base, "s"), (5, base, "r"), (5, near, "s"), (7, base, "s"), (5, other, "s"), (None, near, "s")]
+    data += [(None, third, "s"), (None, third, "q"), (None, third.replace("c59", "x"), "s"), (8, " ", "s"), (9, None, "s"), (10, "alone", "s")]
+    data += [(20, f"{other} y", "s")] * 30
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        stays = minhash.deduplicated(df, 80, single=True)
+        got = [tuple(r) for r in stays.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert stays.columns == df.columns and set(got) <= set(data) and len(got) == 6
+    assert sorted((i or 0, (t or " ")[0]) for i, t, _ in got) == [(0, "c"), (5, "a"), (5, "b"), (8, " "), (9, " "), (10, "a")]
+
+
 def test_signature_is_circulant_and_estimates_jaccard():
     draw = np.random.default_rng(0)
     pool = draw.integers(0, 2**63, 3000, dtype=np.uint64)

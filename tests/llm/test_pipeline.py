@@ -97,3 +97,10 @@ def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     assert mixing.planned(spark.range(3).select(F.lit("a b").alias("text"), F.lit("s").alias("source"), F.col("id").alias("doc_id"))).count() == 3
+
+
+def test_near_dedup_leaves_one_row_of_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    nobody = spark.createDataFrame([(None, "one two three four five six", "en", "s", 1)] * 3, docs.schema)
+    once = corpus_pipeline.drop_near_copies(spark, docs, SF).count()
+    assert corpus_pipeline.drop_near_copies(spark, docs.union(docs).union(docs.limit(7)).union(nobody), SF).count() == once + 1
