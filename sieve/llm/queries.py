@@ -184,7 +184,7 @@ def subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_spot_signatures")
 def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 4: fingerprints of every text and of its edited text, and how near they are to each other."""
-    beside = spotsigs.beside_next(documents(spark, sf_dir))
+    beside = spotsigs.beside_next(documents(spark, sf_dir), whole=True)
     own, edited = F.col("signatures"), F.col("edited_signatures")
     return beside.select(
         "doc_id",

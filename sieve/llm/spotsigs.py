@@ -2,7 +2,7 @@
 
 Common words are anchors; an anchor and the chain of content words that follow it make one spot
 signature, and a document's fingerprint is the set of its signatures. Anchors are frequent in prose
-and rare in lists, so the fingerprint follows what a document says. Two fingerprints are compared by
+and rare in lists, so the fingerprint follows what a document says; ``whole`` also covers what lies far from any anchor. Two fingerprints are compared by
 Jaccard; sets whose sizes alone keep them below a threshold are never compared, because sets are
 partitioned by length, and within a partition only sets that share one of their rarest signatures meet.
 
@@ -32,6 +32,7 @@ ANCHORS = (
     "el", "los", "las", "y", "una", "por", "con", "para", "es", "del", "no", "su", "al", "lo", "como",
 )
 CHAIN = 3  # content words per signature
+RUN = "~"  # stands for the anchor within a long run of content words
 START = "^"  # the begin of a text is an anchor too, so every text with a content word has a signature
 
 
@@ -39,12 +40,14 @@ def _is_anchor(word: Column) -> Column:
     return word.isin(*ANCHORS)
 
 
-def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, out: str, whole: bool = False) -> DataFrame:
     """Adds ``out``, the sorted set of 32-bit signature hashes of a text that is not null.
 
-    Words are runs of letters and digits, lower-cased. A chain at the end of a text may be shorter.
+    Words are runs of letters and digits, lower-cased. A chain at the end of a text may be shorter. With
+    ``whole``, each content word that the chain of the last anchor does not reach begins a chain of its own,
+    so that every word of a text counts, however few anchors it has.
     """
-    words, content = f"_{out}_words", f"_{out}_content"
+    words, content, anchors = f"_{out}_words", f"_{out}_content", f"_{out}_anchors"
     split = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     df = df.withColumn(words, split).withColumn(content, F.filter(words, lambda w: ~_is_anchor(w)))
 
@@ -52,10 +55,21 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.hash(anchor, *[F.get(F.col(content), first + i) for i in range(CHAIN)])
 
     places = F.array_compact(F.transform(words, lambda w, i: F.when(_is_anchor(w), i)))
-    at_anchors = F.transform(places, lambda p, j: signature(F.get(F.col(words), p), p - j))
+    df = df.withColumn(anchors, places)
+    at_anchors = F.transform(anchors, lambda p, j: signature(F.get(F.col(words), p), p - j))
     at_start = F.when(F.size(content) > 0, F.array(signature(F.lit(START), F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.concat(at_anchors, at_start))))
-    return df.drop(words, content)
+    parts = [at_anchors, at_start]
+    if whole:
+
+        def beyond(place: Column, i: Column) -> Column:
+            before = place - i  # anchors before the i-th content word
+            first = F.when(before == 0, 0).otherwise(F.get(F.col(anchors), before - 1) - (before - 1))
+            return F.when(i - first >= CHAIN, signature(F.lit(RUN), i))
+
+        others = F.array_compact(F.transform(words, lambda w, i: F.when(~_is_anchor(w), i)))
+        parts.append(F.array_compact(F.transform(others, beyond)))
+    df = df.withColumn(out, F.array_sort(F.array_distinct(F.concat(*parts))))
+    return df.drop(words, content, anchors)
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -71,7 +85,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(shared / either)
 
 
-def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Each document next to the one after it in descending order of the id, and to its edited text.
 
     Returns doc_id, n_chars, next_doc_id, text, edited, signatures, edited_signatures, next_signatures.
@@ -92,7 +106,7 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     route = spool(order.select("key", "place").join(after, "place").select("key", "taker", "taker_wants"), "route").df
 
-    full = with_signatures(body, "text", "signatures").join(route.hint("merge"), "key")
+    full = with_signatures(body, "text", "signatures", whole).join(route.hint("merge"), "key")
     once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
     passed = full.withColumn("_once", once).filter("_once = 1").select(
         F.col("taker").alias("key"),
@@ -103,7 +117,7 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     both = full.select("key", "doc_id", "text", "signatures").join(passed.hint("merge"), "key")
     stays = F.char_length("text") - F.floor(F.char_length("text") / 3)
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays.cast("int")), F.col("_head")))
-    both = with_signatures(both, "edited", "edited_signatures")
+    both = with_signatures(both, "edited", "edited_signatures", whole)
     return both.select(
         "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "next_doc_id", "text", "edited", "signatures",
         "edited_signatures", "next_signatures",

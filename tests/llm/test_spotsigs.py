@@ -49,6 +49,45 @@ def test_beside_next(spark):
         assert r["near_next"] == pytest.approx(jaccard(signatures(text), signatures(after)))
 
 
+def whole_signatures(text):
+    words = [w for w in re.split(r"[^\w]+|_+", (text or "").lower()) if w]
+    content, out, seen, reached = [w for w in words if w not in spotsigs.ANCHORS], signatures(text), 0, 3
+    for w in words:
+        if w in spotsigs.ANCHORS:
+            reached = seen + 3
+        else:
+            if seen >= reached:
+                out.add(("~", *content[seen : seen + 3]))
+            seen += 1
+    return out
+
+
+def test_signatures_cover_texts_with_few_anchors(spark):
+    draw = random.Random(8)
+    plain = [" ".join(f"w{draw.randrange(50)}" for _ in range(n)) for n in (1, 3, 4, 5, 30, 200)]
+    few = [" ".join("the" if draw.random() < 0.08 else f"w{draw.randrange(50)}" for _ in range(80)) for _ in range(20)]
+    texts = [*plain, *few, "Москва река дом лес поле", "the of and", ""]
+    pairs = [(t, f"{t[: -len(t) // 3]} other end") for t in texts] + [(t + " last", t + " end") for t in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for side in "ab":
+        df = spotsigs.with_signatures(df, side, f"s{side}", whole=True)
+    got = df.select("a", "b", spotsigs.likeness(F.col("sa"), F.col("sb")).alias("near")).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert r["near"] == pytest.approx(jaccard(whole_signatures(r["a"]), whole_signatures(r["b"]))) and r["near"] < 1
+
+
+def test_query_tells_lists_with_another_end_apart(spark, tmp_path):
+    from sieve.llm.queries import QUERIES
+
+    items = " ".join(f"item{i}" for i in range(60))
+    rows = [(1, f"{items} aaa bbb ccc"), (2, f"{items} ddd eee fff")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_spot_signatures"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 and all(0.5 < r["near_next"] < 1 and r["near_edited"] < 0.7 for r in got)
+    assert got[0]["fingerprint"] != got[1]["fingerprint"]
+
+
 def test_edge_rows(spark):
     got = spotsigs.beside_next(table(spark)).collect()
     assert len(got) == len(rows())
