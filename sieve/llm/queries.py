@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieve.llm import bitsliced, bpe, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs
+from sieve.llm import (
+    bitsliced, bpe, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs, whitening,
+)
 from sieve.llm.common import documents, prepared, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +226,10 @@ def ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ordinal.graded(docs.select("doc_id", "text"), model)
     tails = [F.col("at_least")[g].alias(f"at_least_{g}") for g in model.grades[1:]]
     return found.select("doc_id", "expected_grade", *tails, "kept")
+
+
+@query("op11_whitened_embeddings")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 11: every usable vector on the first sixteen components of the distinct vectors' covariance."""
+    rows = prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.components(rows.select("vec_id", "embedding"))
