@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.llm import (
-    bitsliced, bpe, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs, whitening,
+    bitsliced, bpe, chat, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs, whitening,
 )
 from sieve.llm.common import documents, prepared, text_or_empty
 
@@ -233,3 +233,30 @@ def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 11: every usable vector on the first sixteen components of the distinct vectors' covariance."""
     rows = prepared(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
     return whitening.components(rows.select("vec_id", "embedding"))
+
+
+CONTROL_TURNS = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+
+
+def _chat_sql() -> str:
+    pattern, by = chat.Template().escaping
+    escaped = f"regexp_replace({{}}, '{pattern}', '{by}', 'g')"
+    marks = sum(len(m) for m in (chat.Template().opens, chat.Template().parts, chat.Template().closes))
+    return f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"(-1, {i}, '{r}', '{t}')" for i, (r, t) in enumerate(CONTROL_TURNS))}) v(conv_id, turn, role, text)),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text)) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '') AS learned,
+         CAST(sum(length({escaped.format("role")}) + length({escaped.format("text")}) + {marks}) AS BIGINT) AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
+FROM whole"""
+
+
+@query("op12_chat_format", _chat_sql())
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 12: all conversations and one full of control strings, formatted and read back."""
+    turns = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = [(-1, i, role, text) for i, (role, text) in enumerate(CONTROL_TURNS)]
+    return chat.digests(chat.formatted(turns.unionByName(spark.createDataFrame(extra, turns.schema))))

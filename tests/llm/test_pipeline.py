@@ -33,7 +33,7 @@ def test_query(spark, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry.queries()) if m)
-    assert numbers == list(range(1, 12)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 13)) and "pipeline" in entry.queries()
 
 
 def test_stages(spark):
