@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.llm import (
-    bitsliced, bpe, chat, language, lattice, minhash, mixing, ordinal, pseudonyms, sharding, spotsigs, whitening,
+    bitsliced, bpe, chat, language, lattice, minhash, mixing, ordinal, phrases, pseudonyms, sharding, spotsigs, whitening,
 )
 from sieve.llm.common import documents, prepared, text_or_empty
 
@@ -260,3 +260,32 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prepared(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = [(-1, i, role, text) for i, (role, text) in enumerate(CONTROL_TURNS)]
     return chat.digests(chat.formatted(turns.unionByName(spark.createDataFrame(extra, turns.schema))))
+
+
+@query("op13_phrases", """WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, k AS len, count(*) AS f FROM grams GROUP BY lang, phrase, k),
+cand AS (SELECT lang, phrase, len, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * c.a // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN cand b
+  ON b.lang = c.lang AND b.len > c.len AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.a >= 80 * c.a),
+ranks AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest w WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = w.lang AND i.phrase = w.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN total USING (lang) WHERE rank <= 2000""")
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 13: the first 2 000 phrases of each language."""
+    return phrases.mined(documents(spark, sf_dir))
