@@ -34,9 +34,9 @@ def long_tokens(rows: DataFrame, fields: Sequence[str] = ("title", "abstract"),
     return rows.select("topic_id", "pid", *carry, F.inline(F.concat(*[entries(f) for f in fields])))
 
 
-def term_rows(rows: DataFrame, words: Column, keep: Sequence[str]) -> DataFrame:
-    """One row per different token of each text: ``keep``, token, n. A text without tokens keeps
-    one row with nulls. Tokens are counted inside the row by sorting them, so nothing is shuffled."""
+def term_lists(rows: DataFrame, words: Column, keep: Sequence[str], name: str = "terms") -> DataFrame:
+    """``keep`` and the different tokens of each text as an array of (token, n). Tokens are counted
+    inside the row by sorting them, so nothing is shuffled."""
     listed = rows.select(*keep, F.sort_array(words).alias("_s"))
     entry = F.transform("_s", lambda t, i: F.struct(t.alias("token"), i.alias("at")))
     starts = F.filter(entry, lambda e: (e["at"] == 0) | (F.get("_s", e["at"] - 1) != e["token"]))
@@ -44,7 +44,13 @@ def term_rows(rows: DataFrame, words: Column, keep: Sequence[str]) -> DataFrame:
     terms = F.transform(
         "_f", lambda e, i: F.struct(e["token"].alias("token"), (end(i) - e["at"]).cast("bigint").alias("n"))
     )
-    return listed.withColumn("_f", starts).select(*keep, F.inline_outer(terms))
+    return listed.withColumn("_f", starts).select(*keep, terms.alias(name))
+
+
+def term_rows(rows: DataFrame, words: Column, keep: Sequence[str]) -> DataFrame:
+    """One row per different token of each text: ``keep``, token, n. A text without tokens keeps
+    one row with nulls."""
+    return term_lists(rows, words, keep, "_terms").select(*keep, F.inline_outer("_terms"))
 
 
 def word_counts(rows: DataFrame, *fields: str, min_count: int = 1, tokenizer: Tokenizer = lower_tokens,

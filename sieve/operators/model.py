@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ ERROR = "Error"
 # not depend on the order of adding, and a logit is the same wherever it is computed.
 WEIGHT_DIGITS = 6
 _UNIT = 10**WEIGHT_DIGITS
-_PENALTY = 0.01  # of the logistic regressions
+_PENALTY = 0.01  # of the pooled logistic regression
 
 
 @dataclass(frozen=True)
@@ -147,55 +147,31 @@ def load_model(spark: SparkSession, path: str, topic: str | None = None) -> Toke
     return TokenModel(Spooled(weights, f"{path}/weights", stored_bytes(spark, f"{path}/weights")), priors)
 
 
-def train_linear(train: DataFrame, text: str = "text", per_topic: bool = False, numeric: Sequence[str] = (),
+def train_linear(train: DataFrame, text: str = "text", numeric: Sequence[str] = (),
                  weight: str | None = None, features: int = 1 << 16, iterations: int = 20) -> PipelineModel:
-    """Logistic regression over hashed TF-IDF of ``text``, optionally with numeric features.
+    """One logistic regression for all rows over hashed TF-IDF of ``text``, optionally with numeric features.
 
-    ``per_topic`` gives every topic a model of its own inside one fit: each pair of topic and token
-    has its own coefficient (an exact index, so no two share one), every topic counts the same in the
-    loss, and nothing common to all topics is fitted. So no topic's rows move another's weights.
+    Its coefficients, ``features`` at most, live in the driver. ``linear`` has models per topic and without that bound.
     """
     joined = [VectorAssembler(inputCols=["_tfidf", *numeric], outputCol="features")] if numeric else []
-    column = "features" if numeric else "_tfidf"
-    rows = linear_input(train, text, per_topic).withColumn("label", F.col("relevance").cast("double"))
-    if per_topic:
-        sizes = rows.groupBy("topic_id").agg((1.0 / F.count("*")).alias("_share"))
-        rows = lookup(rows, sizes, ["topic_id"], "left", null_safe=True)
-        weight = "_share" if weight is None else weight
-        topics = sizes.count()
-        pairs = rows.select(F.explode("_words").alias("w")).distinct().count()
-        # The coefficients live in the driver, and so may their names.
-        counting = CountVectorizer(inputCol="_words", outputCol="_tfidf", vocabSize=max(pairs, 1), minDF=1.0).fit(rows)
-        fit = LogisticRegression(
-            labelCol="label", featuresCol=column, maxIter=10 * iterations, regParam=_PENALTY / max(topics, 1), fitIntercept=False,
-            standardization=False, tol=1e-9, weightCol=weight,
-        )
-        stages, heads, counted = [*joined, fit], [counting], "_tfidf"
-    else:
-        hashing = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
-        fit = LogisticRegression(
-            labelCol="label", featuresCol=column, maxIter=iterations, regParam=_PENALTY, **({"weightCol": weight} if weight else {})
-        )
-        stages, heads, counted = [IDF(inputCol="_tf", outputCol="_tfidf"), *joined, fit], [hashing], "_tf"
-    needed = ["label", counted, *numeric, *([weight] if weight else [])]
+    rows = linear_input(train, text).withColumn("label", F.col("relevance").cast("double"))
+    hashing = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)
+    fit = LogisticRegression(
+        labelCol="label", featuresCol="features" if numeric else "_tfidf", maxIter=iterations, regParam=_PENALTY,
+        **({"weightCol": weight} if weight else {}),
+    )
+    needed = ["label", "_tf", *numeric, *([weight] if weight else [])]
     # The fit passes over its input many times; the texts are tokenised for the first one only.
-    counts = spool(heads[0].transform(rows).select(*needed), "term-counts").df
-    return PipelineModel([*heads, *Pipeline(stages=stages).fit(counts).stages])
+    counts = spool(hashing.transform(rows).select(*needed), "term-counts").df
+    return PipelineModel([hashing, *Pipeline(stages=[IDF(inputCol="_tf", outputCol="_tfidf"), *joined, fit]).fit(counts).stages])
 
 
-def linear_input(rows: DataFrame, text: str = "text", per_topic: bool = False) -> DataFrame:
-    words = lower_tokens(F.coalesce(F.col(text), F.lit("")))
-    if per_topic:
-        topic = F.concat(F.coalesce(F.col("topic_id"), F.lit("")), F.lit("\t"))
-        # The topic alone stands for the intercept.
-        words = F.concat(F.transform(words, lambda w: F.concat(topic, w)), F.array(topic))
-    return rows.withColumn("_words", words)
+def linear_input(rows: DataFrame, text: str = "text") -> DataFrame:
+    return rows.withColumn("_words", lower_tokens(F.coalesce(F.col(text), F.lit(""))))
 
 
-def score_linear(rows: DataFrame, fitted: PipelineModel, text: str = "text", per_topic: bool = False) -> DataFrame:
-    out = fitted.transform(linear_input(rows, text, per_topic))
+def score_linear(rows: DataFrame, fitted: PipelineModel, text: str = "text") -> DataFrame:
+    out = fitted.transform(linear_input(rows, text))
     return out.withColumn("prob", vector_to_array("probability")[1]).drop(
         "_words", "_tf", "_tfidf", "features", "rawPrediction", "probability", "prediction"
     )
-
-

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 from sieve.functions.numeric import fixed, sigmoid, two_class
 from sieve.functions.text import token_count
+from sieve.operators import linear
 from sieve.operators import metrics as M
 from sieve.operators import model as L
 from sieve.operators.corpus import model_input
 from sieve.operators.profile import class_weight
 from sieve.operators.ranking import batched
 from sieve.operators.sampling import balanced_split
-from sieve.operators.spool import lookup
+from sieve.operators.spool import lookup, new_dir
 from sieve.plans.screening import screen
 from sieve.queries.base import (
-    SCORE_SQL, SCREEN_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, with_sql,
+    SCORE_SQL, SCREEN_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, tokens_sql, with_sql,
 )
 
-FEATURES = 1 << 13
 _RATES = ("accuracy", "precision", "recall", "f1")
 _COUNTS_SQL = """count(*) FILTER (WHERE prob >= threshold AND label = 1) AS tp,
          count(*) FILTER (WHERE prob >= threshold AND label = 0) AS fp,
@@ -121,45 +121,80 @@ def _texts(t: Tables) -> DataFrame:
     return model_input(split, "topic_id", "title", "abstract")
 
 
-HELD_OUT_SQL = with_sql(SCREEN_SQL, """
-SELECT topic_id, pid, relevance AS label, true AS is_probability, true AS verdict_agrees FROM split WHERE is_test""")
-
-
-def _held_out(rows: DataFrame) -> DataFrame:
-    """What another engine can check of a fitted model: which rows are judged, and that each verdict follows its probability."""
-    prob = F.col("prob")
-    agrees = L.verdict(prob) == F.when(prob >= 0.5, "Relevant").otherwise("Irrelevant")
-    return rows.select(
-        "topic_id", "pid", F.col("relevance").alias("label"),
-        F.coalesce((prob >= 0) & (prob <= 1), F.lit(False)).alias("is_probability"), agrees.alias("verdict_agrees"),
+EPOCHS = 10  # enough for probabilities within 1e-4 of the minimum on these tables, and the same in SQL
+
+
+def linear_sql(group: str | None, numeric: dict[str, str] | None = None, weighted: bool = False) -> str:
+    """The fit of ``linear`` step by step, one set of tables per epoch, then the held-out rows."""
+    g = "'*'" if group is None else f"coalesce('=' || {group}, '~')"
+    weight = "CASE WHEN relevance = 1 THEN n_neg / CAST(n_pos AS DOUBLE) ELSE 1.0 END" if weighted else "1.0"
+    numbers = "".join(f"\n  UNION ALL SELECT is_test, g, topic_id, pid, y, c, chr(9) || '{n}', {e} FROM texts" for n, e in (numeric or {}).items())
+    length = " + ".join(["2.0", *[f"pow({e}, 2)" for e in (numeric or {}).values()]])
+    parts = [*SCREEN_SQL, f"""class_weights AS (
+  SELECT topic_id, count(*) FILTER (WHERE relevance = 0) AS n_neg, count(*) FILTER (WHERE relevance = 1) AS n_pos FROM split GROUP BY topic_id),
+texts AS MATERIALIZED (
+  SELECT is_test, {g} AS g, s.topic_id, pid, CAST(relevance AS DOUBLE) AS y, {weight} AS c, title, abstract,
+         {tokens_sql("lower(concat_ws(' ', s.topic_id, title, abstract))")} AS words
+  FROM split s JOIN class_weights w ON s.topic_id = w.topic_id),
+terms AS (
+  SELECT is_test, g, topic_id, pid, y, c, token, ln(1 + count(*)) AS v
+  FROM (SELECT is_test, g, topic_id, pid, y, c, unnest(words) AS token FROM texts) GROUP BY ALL),
+cells AS MATERIALIZED (
+  SELECT is_test, g, topic_id, pid, y, c, token, v / sqrt(sum(v * v) OVER (PARTITION BY g, pid)) AS v FROM terms
+  UNION ALL SELECT is_test, g, topic_id, pid, y, c, '', 1.0 FROM texts{numbers}),
+groups AS MATERIALIZED (SELECT g, count(*) AS n, avg(c * ({length})) / 4 + {linear.PENALTY} AS curve FROM texts WHERE NOT is_test GROUP BY g),
+s0 AS (SELECT DISTINCT g, token, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS step, CAST(0 AS DOUBLE) AS gradient FROM cells WHERE NOT is_test)"""]
+    for k in range(EPOCHS):
+        parts.append(f"""r{k} AS MATERIALIZED (
+  SELECT g, pid, any_value(c) * (1 / (1 + exp(-sum(v * w))) - any_value(y)) AS r FROM cells JOIN s{k} USING (g, token) WHERE NOT is_test GROUP BY g, pid),
+t{k} AS MATERIALIZED (
+  SELECT s.g, token, w, step, gradient AS old, pull / n + {linear.PENALTY} * w AS gradient, curve
+  FROM s{k} s JOIN (SELECT g, token, sum(v * r) AS pull FROM cells JOIN r{k} USING (g, pid) WHERE NOT is_test GROUP BY g, token) USING (g, token)
+  JOIN groups o ON o.g = s.g),
+a{k} AS MATERIALIZED (
+  SELECT g, CASE WHEN sum(step * (gradient - old)) > 0 THEN sum(step * step) / sum(step * (gradient - old)) ELSE 1 / max(curve) END AS rate
+  FROM t{k} GROUP BY g),
+s{k + 1} AS MATERIALIZED (SELECT g, token, w - rate * gradient AS w, -rate * gradient AS step, gradient FROM t{k} JOIN a{k} USING (g))""")
+    parts.append(f"""fitted AS (
+  SELECT topic_id, pid, any_value(y) AS y, 1 / (1 + exp(-sum(v * coalesce(w, 0)))) AS prob
+  FROM cells LEFT JOIN s{EPOCHS} USING (g, token) WHERE is_test GROUP BY topic_id, pid)""")
+    return with_sql(parts, """SELECT topic_id, pid, CAST(y AS INTEGER) AS label, round(prob, 4) AS prob,
+  CASE WHEN prob >= 0.5 THEN 'Relevant' ELSE 'Irrelevant' END AS verdict FROM fitted""")
+
+
+def _judged(scored: DataFrame) -> DataFrame:
+    return scored.select(
+        "topic_id", "pid", F.col("relevance").alias("label"), rounded("prob", 4).alias("prob"), L.verdict(F.col("prob")).alias("verdict")
     )
 
 
-@query("pooled_model", HELD_OUT_SQL)
+@query("pooled_model", linear_sql(None, weighted=True))
 def pooled_model(t: Tables) -> DataFrame:
     """One logistic regression for all topics, topic text included, weighted by class."""
     rows = _texts(t)
     weights = class_weight(rows).select("topic_id", "pos_weight")
-    train = lookup(rows.filter("not is_test"), weights, ["topic_id"], "inner").withColumn(
+    weighted = lookup(rows.filter("not is_test"), weights, ["topic_id"], "inner").withColumn(
         "w", F.when(F.col("relevance") == 1, F.col("pos_weight")).otherwise(1.0)
     )
-    fitted = L.train_linear(train, weight="w", features=FEATURES)
-    return _held_out(L.score_linear(rows.filter("is_test"), fitted))
+    fitted = linear.fit(weighted, group=None, weight="w", epochs=EPOCHS, tolerance=0)
+    return _judged(linear.score(rows.filter("is_test"), fitted, group=None, carry=["relevance"]))
 
 
-@query("topic_linear_models", HELD_OUT_SQL)
+@query("topic_linear_models", linear_sql("s.topic_id"))
 def topic_linear_models(t: Tables) -> DataFrame:
-    """One logistic regression per topic, all in one fit."""
+    """One logistic regression per topic, all in one fit, saved and loaded again."""
     rows = _texts(t)
-    fitted = L.train_linear(rows.filter("not is_test"), per_topic=True)
-    return _held_out(L.score_linear(rows.filter("is_test"), fitted, per_topic=True))
+    store = new_dir(t.spark, "linear-models")
+    linear.save(linear.fit(rows.filter("not is_test"), epochs=EPOCHS, tolerance=0), store)
+    return _judged(linear.score(rows.filter("is_test"), linear.load(t.spark, store), carry=["relevance"]))
 
 
-@query("numeric_features", HELD_OUT_SQL)
+@query("numeric_features", linear_sql(None, {
+    "title_n": f"ln(1 + len({tokens_sql('title')})) / 10", "abstract_n": f"ln(1 + len({tokens_sql('abstract')})) / 10"}))
 def numeric_features(t: Tables) -> DataFrame:
     """Text plus two numbers: how long title and abstract are."""
-    rows = _texts(t).withColumn("title_n", F.log1p(token_count(F.col("title")))).withColumn(
-        "abstract_n", F.log1p(token_count(F.col("abstract")))
-    )
-    fitted = L.train_linear(rows.filter("not is_test"), numeric=["title_n", "abstract_n"], features=FEATURES)
-    return _held_out(L.score_linear(rows.filter("is_test"), fitted))
+    length = lambda c: F.log1p(token_count(F.col(c)).cast("double")) / 10
+    rows = _texts(t).withColumns({"title_n": length("title"), "abstract_n": length("abstract")})
+    numeric = ["title_n", "abstract_n"]
+    fitted = linear.fit(rows.filter("not is_test"), group=None, numeric=numeric, epochs=EPOCHS, tolerance=0)
+    return _judged(linear.score(rows.filter("is_test"), fitted, group=None, numeric=numeric, carry=["relevance"]))

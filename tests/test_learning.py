@@ -251,10 +251,9 @@ def test_losses(spark):
 
 def test_linear_models_learn(screening):
     rows = screening.split.withColumn("text", F.concat_ws(" ", "title", "abstract")).withColumn("n", F.lit(1.0))
-    for options in ({}, {"per_topic": True}, {"numeric": ["n"]}):
+    for options in ({}, {"numeric": ["n"]}):
         fitted = L.train_linear(rows.filter("not is_test"), features=1 << 12, **options)
-        topical = options.get("per_topic", False)
-        out = L.score_linear(rows.filter("is_test"), fitted, per_topic=topical).collect()
+        out = L.score_linear(rows.filter("is_test"), fitted).collect()
         right = sum((r["prob"] >= 0.5) == (r["relevance"] == 1) for r in out)
         assert right / len(out) > 0.7
 

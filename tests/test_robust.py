@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieve.operators import attribution as A
-from sieve.operators import model as L
+from sieve.operators import linear
 from sieve.operators import sampling as S
 from sieve.operators.ranking import batched
 from sieve.operators.spool import children, lookup, new_dir, spool
@@ -105,9 +105,9 @@ def test_topics_of_the_linear_model_are_apart(spark):
     probe = spark.createDataFrame([("a", "x", "yes w1", 1), ("a", "y", "no w2", 0)], schema)
     prob = []
     for other in (rows("b", 0), rows("b", 1) + rows("c", 1)):
-        fitted = L.train_linear(spark.createDataFrame(rows("a", 0) + other, schema), per_topic=True)
-        prob.append([r["prob"] for r in L.score_linear(probe, fitted, per_topic=True).orderBy("pid").collect()])
-    assert np.allclose(prob[0], prob[1], atol=1e-3) and abs(prob[0][0] - prob[0][1]) > 0.3
+        fitted = linear.fit(spark.createDataFrame(rows("a", 0) + other, schema))
+        prob.append([r["prob"] for r in linear.score(probe, fitted).orderBy("pid").collect()])
+    assert np.allclose(prob[0], prob[1], atol=1e-9) and abs(prob[0][0] - prob[0][1]) > 0.3
 
 
 def test_result_runs_of_numeric_topics(spark):
