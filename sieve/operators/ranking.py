@@ -17,6 +17,7 @@ from sieve.operators.spool import Spooled, lookup, spool
 
 SEED = 42
 _BUCKET_DIGITS = 3  # leading hex digits: 4 096 buckets per group
+NEAR = 10_000  # rows of a group that one task may sort
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -34,9 +35,9 @@ def quota_cut(
     seed: int | str = SEED,
     id_col: str = "pid",
 ) -> Spooled:
-    """Per group, the last order key that each quota lets in: keys and, per quota, that key and how
-    many of the rows with it are let in (column ``<quota>_copies``), for ids may repeat. A null in
-    a key is a group like others.
+    """Per group, the last order key that each quota lets in: keys and, per quota, that key, how many
+    of the rows with it are let in (``<quota>_copies``) and how many there are (``<quota>_rows``), for
+    ids may repeat. A null in a key is a group like others.
 
     A histogram over the leading digits of the order says in which bucket a quota ends, and only
     that bucket is sorted. ``quotas`` adds the columns ``names`` to the histogram (keys, bucket,
@@ -60,12 +61,16 @@ def quota_cut(
         .select(*keys, "bucket", "_quota", (F.col("_want") - F.col("_upto") + F.col("n")).alias("_need"))
     )
     at_edge = lookup(slim, edge, [*keys, "bucket"], "inner", spread="_order", null_safe=True)
-    in_order = Window.partitionBy(*keys, "_quota").orderBy("_order")
-    at_edge = at_edge.withColumn("_position", F.row_number().over(in_order)).withColumn("_first", F.rank().over(in_order))
-    last = at_edge.filter(F.col("_position") == F.col("_need"))
-    copies = F.col("_position") - F.col("_first") + 1
+    # Copies of an id are counted before they are shuffled, so an id of many rows is one row here.
+    ids_at_edge = at_edge.groupBy(*keys, "_quota", "_need", "_order").agg(F.count("*").alias("_n"))
+    upto_id = F.sum("_n").over(Window.partitionBy(*keys, "_quota").orderBy("_order"))
+    last = ids_at_edge.withColumn("_upto", upto_id).filter(F.col("_need").between(F.col("_upto") - F.col("_n") + 1, F.col("_upto")))
+    copies = F.col("_need") - F.col("_upto") + F.col("_n")
     of = lambda q, c: F.max(F.when(F.col("_quota") == q, c))
-    cuts = [c for q in names for c in (of(q, F.col("_order")).alias(q), of(q, copies).alias(f"{q}_copies"))]
+    cuts = [
+        c for q in names
+        for c in (of(q, F.col("_order")).alias(q), of(q, copies).alias(f"{q}_copies"), of(q, F.col("_n")).alias(f"{q}_rows"))
+    ]
     return spool(last.groupBy(*keys).agg(*cuts), "cut")
 
 
@@ -75,24 +80,24 @@ def flag_cuts(
 ) -> DataFrame:
     """Adds, for each quota of ``cut``, a flag that tells whether the row is within it.
 
-    The rows are not sorted and, while the groups are not very many, not shuffled either; only
-    those that share the id at which a quota ends are numbered, by a hash of their content.
+    The rows are not sorted and, while the groups are not very many, not shuffled either. Only where a
+    quota ends inside the copies of an id are these copies numbered, by a hash of their content.
     """
     columns = rows.columns
     renamed = cut.df.select(*keys, *[F.col(c).alias(f"_{c}") for q in flags for c in (q, f"{q}_copies")])
     marked = lookup(rows, Spooled(renamed, cut.path, cut.bytes), list(keys), "left", spread=id_col, null_safe=True)
-    marked = marked.withColumn("_order", seeded_order(seed, id_col))
-    at_end = reduce(lambda a, b: a | b, [F.col("_order") == F.col(f"_{q}") for q in flags])
-    at_end = F.coalesce(at_end, F.lit(False))
-    alike = Window.partitionBy(*keys, "_order").orderBy(F.xxhash64(*columns))
-    numbered = marked.filter(~at_end).withColumn("_copy", F.lit(1)).unionByName(
-        marked.filter(at_end).withColumn("_copy", F.row_number().over(alike))
-    )
+    marked = marked.withColumn("_order", seeded_order(seed, id_col)).withColumn("_copy", F.lit(0).cast("bigint"))
+    inside_copies = reduce(lambda a, b: a | b, [F.col(f"{q}_copies") < F.col(f"{q}_rows") for q in flags])
+    if not cut.df.filter(inside_copies).isEmpty():
+        at_end = reduce(lambda a, b: a | b, [F.col("_order") == F.col(f"_{q}") for q in flags])
+        at_end = F.coalesce(at_end, F.lit(False))
+        ends = ranked(marked.filter(at_end), [F.xxhash64(*columns)], [*keys, "_order"], "_copy", spread="_copy")
+        marked = marked.filter(~at_end).unionByName(ends)
     for quota, flag in flags.items():
         order, end = F.col("_order"), F.col(f"_{quota}")
         inside = (order < end) | ((order == end) & (F.col("_copy") <= F.col(f"_{quota}_copies")))
-        numbered = numbered.withColumn(flag, F.coalesce(inside, F.lit(False)))
-    return numbered.select(*columns, *flags.values())
+        marked = marked.withColumn(flag, F.coalesce(inside, F.lit(False)))
+    return marked.select(*columns, *flags.values())
 
 
 def within_cut(
@@ -111,12 +116,17 @@ def ranked(
     """Number all rows from 1 in ``order``, over the table or within each group of ``keys``.
 
     One range sort; the place of a row in its sorted partition plus the sizes of the partitions
-    before it is its rank. ``order`` should be unique, which also keeps the partitions even; rows that
-    tie in it take numbers one after the other. A null key is a group like others.
+    before it is its rank. Rows that tie in ``order`` follow each other by a hash of their content, and
+    equal rows by their place in the input, so the sort can cut ties: a key that holds most rows is
+    dealt over many tasks like any other. A null key is a group like others.
     """
     keys = list(keys)
+    kept = [c for c in rows.columns if c != name]
+    hashed = [c for c, kind in rows.select(*kept).dtypes if "map<" not in kind]
+    tied = {"_tie": F.xxhash64(*hashed) if hashed else F.lit(0), "_from": F.monotonically_increasing_id()}
     placed = spool(
-        rows.orderBy(*keys, *order).withColumn("_place", F.monotonically_increasing_id()), "sorted"
+        rows.select(*kept).withColumns(tied).orderBy(*keys, *order, "_tie", "_from").drop("_tie", "_from")
+        .withColumn("_place", F.monotonically_increasing_id()), "sorted"
     ).df
     placed = placed.withColumn("_part", F.shiftright("_place", _PLACE_BITS))
     before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -143,23 +153,10 @@ def shuffled(
 ) -> DataFrame:
     """Number all rows from 1 in seeded order, over the table or within each group of ``keys``.
 
-    Rows that repeat an id take numbers one after the other; a null key is a group like others.
-
-    The leading digits of the order cut every group into even buckets, which are ranked apart;
-    the sizes of the buckets before give the rest. Unlike ``ranked`` this stores no rows.
+    Rows that repeat an id take numbers one after the other, and may lie in several tasks; a null key is
+    a group like others.
     """
-    keys = list(keys)
-    keyed = rows.withColumn("_order", seeded_order(seed, id_col)).withColumn(
-        "_bucket", F.substring("_order", 1, _BUCKET_DIGITS)
-    )
-    sizes = spool(keyed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")), "histogram").df
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    in_bucket = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_order", *keys))
-    offsets = offsets.select(*[F.col(c).alias(f"_of{c}") for c in [*keys, "_bucket"]], "_before")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in [*keys, "_bucket"]])
-    placed = keyed.withColumn("_in", in_bucket).join(offsets, same)
-    return placed.withColumn(name, F.col("_before") + F.col("_in")).select(*rows.columns, name)
+    return ranked(rows, [seeded_order(seed, id_col)], keys, name, spread=id_col)
 
 
 def top_per_group(
@@ -173,10 +170,16 @@ def top_per_group(
 def row_slice(
     rows: DataFrame, order: Sequence[Column | str], start: int, stop: int, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows [start, stop) by position, of the table or of each group."""
-    if not keys:
+    """Rows [start, stop) by position, of the table or of each group.
+
+    A slice near the front of each group is cut out in every task before the shuffle. One that ends beyond
+    ``NEAR`` rows is found by rank, so that no task gets a whole group.
+    """
+    if not keys and stop <= NEAR:
         return rows.orderBy(*order).offset(start).limit(stop - start)
-    return top_per_group(rows, keys, order, stop, "_rank").filter(F.col("_rank") > start).drop("_rank")
+    if stop <= NEAR:
+        return top_per_group(rows, keys, order, stop, "_rank").filter(F.col("_rank") > start).drop("_rank")
+    return ranked(rows, order, keys, "_rank", spread="_rank").filter(F.col("_rank").between(start + 1, stop)).drop("_rank")
 
 
 def rank_range(small: DataFrame, order: Sequence[Column | str], start: int, stop: int) -> DataFrame:

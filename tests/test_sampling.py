@@ -218,3 +218,77 @@ def test_relational_rules(spark):
     assert C.union_all(df, df.drop("other")).filter("other is null").count() == 6
     sliced = K.row_slice(spark.range(100), [F.col("id")], 10, 25)
     assert [r[0] for r in sliced.collect()] == list(range(10, 25))
+
+
+@pytest.fixture
+def sorted_sizes(spark, monkeypatch):
+    """Rows per task of every range sort that ranks, with tasks as they were dealt."""
+    sizes, spool = [], K.spool
+
+    def watched(df, name="table"):
+        made = spool(df, name)
+        if name == "sorted":
+            sizes.append(sorted(r["count"] for r in made.df.groupBy(F.shiftright("_place", 33)).count().collect()))
+        return made
+
+    monkeypatch.setattr(K, "spool", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield sizes
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def even(sizes):
+    middle = sizes[len(sizes) // 2]
+    return len(sizes) >= 8 and sizes[-1] <= 3 * middle
+
+
+HOT = 120_000
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One topic of all rows but a few; 60 % have no id, and those are equal but for a grade and a number of five values."""
+    df = spark.range(HOT).selectExpr(
+        "case when id % 1000 = 0 then 'small' else 'big' end as topic_id",
+        "case when id % 10 < 6 then null else cast(id as string) end as pid",
+        "cast(id % 3 = 0 as int) as relevance", "id % 5 as number",
+    )
+    return df.repartition(16, "number", "pid")
+
+
+def test_ranks_of_rows_without_id_are_dealt_over_tasks(spark, hot, sorted_sizes):
+    for got in (K.ranked(hot, ["pid"], ["topic_id"]), K.shuffled(hot, ["topic_id"]), K.batched(hot, 16).withColumn("rank", F.col("batch_id") * 16 + F.col("row_in_batch") + 1)):
+        sums = {r["topic_id"]: tuple(r)[1:] for r in got.groupBy("topic_id").agg(
+            F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.max(F.when(F.col("pid").isNull(), F.col("rank"))),
+            F.min(F.when(F.col("pid").isNull(), F.col("rank"))), F.count_if(F.col("pid").isNull())).collect()}
+        for n, distinct, low, high, last, first, nulls in sums.values():
+            assert n == distinct == high and low == 1 and last - first + 1 == nulls  # null ids are neighbours
+        assert sum(v[0] for v in sums.values()) == HOT
+        assert even(sorted_sizes.pop())
+
+
+def test_deep_slices_of_every_topic(spark, hot, sorted_sizes):
+    small = K.row_slice(hot, ["pid"], 10, 25, ["topic_id"])
+    assert {r["topic_id"]: r["count"] for r in small.groupBy("topic_id").count().collect()} == {"big": 15, "small": 15} and not sorted_sizes
+    deep = K.row_slice(hot, ["pid", "number"], HOT // 4, HOT * 7 // 8, ["topic_id"])
+    ids = [p for t, p in ((r["topic_id"], r["pid"]) for r in hot.select("topic_id", "pid").collect()) if t == "big"]
+    want = sorted(ids, key=lambda p: (p is not None, p or ""))[HOT // 4 : HOT * 7 // 8]
+    got = [r["pid"] for r in deep.select("pid").collect()]
+    assert Counter(got) == Counter(want) and even(sorted_sizes.pop())
+    assert K.row_slice(hot.drop("topic_id"), ["number"], HOT - 20_000, 2 * HOT).count() == 20_000 and even(sorted_sizes.pop())
+
+
+def test_quotas_that_end_inside_rows_without_id(spark, hot, sorted_sizes):
+    """The class sizes of each topic decide, wherever the many rows without id come in the seeded order."""
+    sizes = {(r["topic_id"], r["relevance"]): r["count"] for r in hot.groupBy("topic_id", "relevance").count().collect()}
+    for seed in (1, 2, 3):
+        split = S.stratified_split(S.undersample(hot, seed=seed), seed=seed)
+        got = {(r["topic_id"], r["relevance"]): (r["n"], r["t"]) for r in split.groupBy("topic_id", "relevance").agg(
+            F.count("*").alias("n"), F.count_if("is_test").alias("t")).collect()}
+        for topic in ("big", "small"):
+            n = min(sizes[topic, 0], sizes[topic, 1])
+            assert got[topic, 0][0] == got[topic, 1][0] == n and got[topic, 0][1] + got[topic, 1][1] == math.ceil(2 * n / 4)
+    assert sorted_sizes and all(even(s) for s in sorted_sizes)
+    again = S.undersample(hot.repartition(5), seed=2).groupBy("topic_id", "pid", "relevance", "number").count()
+    once = S.undersample(hot, seed=2).groupBy("topic_id", "pid", "relevance", "number").count()
+    assert once.exceptAll(again).isEmpty() and again.exceptAll(once).isEmpty()  # the same rows however they lie
