@@ -69,6 +69,20 @@ def background_attributions(t: Tables) -> DataFrame:
     return A.background_attributions(s.test, s.model, s.train).withColumn("value", rounded("value", 8))
 
 
+def _long_word_score():
+    """A user's scoring function over texts."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        n = texts.str.count("[^ ]+").to_numpy(dtype="float64")
+        n_long = texts.str.count("[^ ]{7,}").to_numpy(dtype="float64")
+        return pd.Series(1 / (1 + np.exp(-(3.0 * n_long - n) / (n + 1.0))))
+
+    return score
+
+
 @query("sampled_attributions", with_sql(ARTICLES_SQL, f"""
 SELECT topic_id, pid, CAST(ceil(n / ceil(n / 8.0)) AS BIGINT) AS n_parts, n AS n_tokens,
        round(1 / (1 + exp(-(3.0 * n_long - n) / (n + 1.0))) - 0.5, 6) AS total
@@ -78,21 +92,53 @@ WHERE n > 0"""))
 def sampled_attributions(t: Tables) -> DataFrame:
     """A user's scoring function sees texts only; the parts add up to f(text) - f(empty)."""
 
-    @F.pandas_udf("double")
-    def long_word_score(texts: pd.Series) -> pd.Series:
-        import numpy as np
-
-        n = texts.str.count("[^ ]+").to_numpy(dtype="float64")
-        n_long = texts.str.count("[^ ]{7,}").to_numpy(dtype="float64")
-        return pd.Series(1 / (1 + np.exp(-(3.0 * n_long - n) / (n + 1.0))))
-
     rows = model_input(t.texts("lang as topic_id"), "abstract")
-    parts = A.sampled_attributions(rows, long_word_score, permutations=2, groups=8)
+    parts = A.sampled_attributions(rows, _long_word_score(), permutations=2, groups=8)
     return parts.groupBy("topic_id", "pid").agg(
         F.count("*").alias("n_parts"), F.sum(F.size("tokens")).alias("n_tokens"), rounded(F.sum("value")).alias("total")
     )
 
 
+_ROUNDS, _WIDTH = 4, 2
+
+
+def _run_values_sql() -> str:
+    """The halving of runs, one set of tables per round."""
+    f = lambda n, long: f"1 / (1 + exp(-(3.0 * ({long}) - ({n})) / (({n}) + 1.0)))"
+    parts = [ARTICLES_SQL, f"""words AS MATERIALIZED (
+  SELECT lang AS topic_id, pid, {tokens_sql('abstract')} AS w FROM articles WHERE len({tokens_sql('abstract')}) > 0),
+sums AS MATERIALIZED (SELECT topic_id, pid, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN length(x) > 6 THEN 1 ELSE 0 END) AS l FROM words),
+ends AS MATERIALIZED (SELECT topic_id, pid, n, l, list_sum(l) AS t, {f("n", "list_sum(l)")} AS f1, {f("0", "0")} AS f0 FROM sums),
+r0 AS (SELECT pid, 0 AS lo, n AS hi, f1 - f0 AS value, f1 AS alone, f0 AS without FROM ends)"""]
+    for k in range(_ROUNDS):
+        parts.append(f"""o{k} AS MATERIALIZED (
+  SELECT *, CASE WHEN hi - lo > 1 THEN row_number() OVER (PARTITION BY pid, hi - lo > 1 ORDER BY round(abs(value), 9) DESC, lo) END AS place FROM r{k}),
+h{k} AS MATERIALIZED (
+  SELECT o.*, (lo + hi) // 2 AS mid, n, t, f0, f1, coalesce(list_sum(l[lo + 1 : (lo + hi) // 2]), 0) AS la,
+         coalesce(list_sum(l[(lo + hi) // 2 + 1 : hi]), 0) AS lb FROM o{k} o JOIN ends USING (pid) WHERE place <= {_WIDTH}),
+s{k} AS MATERIALIZED (
+  SELECT *, {f("mid - lo", "la")} AS a, {f("hi - mid", "lb")} AS b, {f("n - mid + lo", "t - la")} AS no_a, {f("n - hi + mid", "t - lb")} AS no_b FROM h{k}),
+v{k} AS MATERIALIZED (
+  SELECT *, ((a - f0) + (alone - b) + (no_b - without) + (f1 - no_a)) / 4 AS x, ((b - f0) + (alone - a) + (no_a - without) + (f1 - no_b)) / 4 AS y FROM s{k}),
+r{k + 1} AS MATERIALIZED (
+  SELECT pid, lo, hi, value, alone, without FROM o{k} WHERE place IS NULL OR place > {_WIDTH}
+  UNION ALL SELECT pid, lo, mid, x + (value - x - y) / 2, a, no_a FROM v{k}
+  UNION ALL SELECT pid, mid, hi, y + (value - x - y) / 2, b, no_b FROM v{k})""")
+    return with_sql(parts, f"""SELECT topic_id, pid, CAST(lo AS BIGINT) AS first_pos, CAST(hi - lo AS BIGINT) AS n_tokens, round(value, 6) AS value,
+  md5(array_to_string(w[lo + 1 : hi], ' ')) AS tokens_md5 FROM r{_ROUNDS} JOIN words USING (pid)""")
+
+
+@query("run_attributions", _run_values_sql())
+def run_attributions(t: Tables) -> DataFrame:
+    """What runs of tokens add to a user's score; taken apart into tokens and put together again."""
+    rows = model_input(t.texts("lang as topic_id"), "abstract")
+    runs = A.run_attributions(rows, _long_word_score(), _ROUNDS, _WIDTH)
+    return runs.select(
+        "topic_id", "pid", F.col("lo").cast("bigint").alias("first_pos"), (F.col("hi") - F.col("lo")).cast("bigint").alias("n_tokens"),
+        rounded("value").alias("value"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"),
+    )
+
+
 # Explanations whose shape depends on the language, to meet every rule for class names.
 _CLASSES = {
     "en": ("Irrelevant", "Relevant"), "de": ("LABEL_0", "LABEL_1"), "fr": ("first", "second"), "es": ("a", "b", "c"),

@@ -190,6 +190,58 @@ def test_sampled_attributions(spark):
     assert totals == {"1": 121.0, "2": 4.0, "4": 1.0}
 
 
+def halved(words, f, rounds, width):
+    """The runs of a text and their values, by plain Python: {(lo, hi): value}."""
+    n, say = len(words), lambda *parts: f(" ".join(w for p in parts for w in p))
+    none, full = f(""), f(" ".join(words))
+    runs = {(0, n): (full - none, full, none)}
+    for _ in range(rounds):
+        order = sorted((r for r in runs if r[1] - r[0] > 1), key=lambda r: (-round(abs(runs[r][0]), 9), r[0]))
+        for lo, hi in order[:width]:
+            value, alone, without = runs.pop((lo, hi))
+            mid = (lo + hi) // 2
+            a, b = say(words[lo:mid]), say(words[mid:hi])
+            no_a, no_b = say(words[:lo], words[mid:]), say(words[:mid], words[hi:])
+            x = ((a - none) + (alone - b) + (no_b - without) + (full - no_a)) / 4
+            y = ((b - none) + (alone - a) + (no_a - without) + (full - no_b)) / 4
+            runs[lo, mid], runs[mid, hi] = (x + (value - x - y) / 2, a, no_a), (y + (value - x - y) / 2, b, no_b)
+    return {r: v[0] for r, v in runs.items()}
+
+
+def test_values_of_runs_and_tokens(spark):
+    draw = random.Random(6)
+    weight = {w: draw.uniform(-2, 2) for w in WORDS}
+    texts = [[draw.choice(WORDS) for _ in range(n)] for n in (1, 2, 3, 5, 8, 40)]
+    rows = [("t", str(i), " ".join(w)) for i, w in enumerate(texts)] + [("t", "x", None), ("t", "y", " \n "), ("t", "1", " ".join(texts[1]))]
+    df = spark.createDataFrame(rows, "topic_id string, pid string, text string")
+
+    def clash(text):  # not additive: pairs of equal neighbours count, and the sum is squashed
+        w = text.split()
+        return math.tanh(sum(weight[x] for x in w) + sum(a == b for a, b in zip(w, w[1:])) + 0.25)
+
+    plain = F.udf(clash, "double")
+    for rounds, width in ((0, 1), (2, 1), (3, 2), (12, 64)):
+        runs = A.run_attributions(df, plain, rounds, width)
+        got = defaultdict(dict)
+        for r in runs.collect():
+            got[r["pid"]][r["lo"], r["hi"]] = r["value"]
+            assert r["tokens"] == texts[int(r["pid"])][r["lo"] : r["hi"]]
+        for i, w in enumerate(texts):
+            want = halved(w, clash, rounds, width)
+            assert got[str(i)].keys() == want.keys() and all(abs(got[str(i)][r] - v) < 1e-9 for r, v in want.items())
+            assert abs(sum(want.values()) - (clash(" ".join(w)) - clash(""))) < 1e-9
+        assert set(got) == {str(i) for i in range(len(texts))}
+    values = defaultdict(list)  # the last rounds end at single tokens
+    for r in A.token_values(runs).collect():
+        values[r["pid"], r["pos"]].append((r["token"], r["value"]))
+    assert len(values) == sum(map(len, texts)) and len(values["1", 0]) == 2  # the repeated row
+    a, b = (clash(x) for x in texts[1])
+    both, none = clash(" ".join(texts[1])), clash("")
+    assert values["1", 0][0][1] == pytest.approx((a - none + both - b) / 2)  # the Shapley value
+    summed = A.token_values(A.run_attributions(df, F.udf(lambda t: sum((weight[x] for x in t.split()), 0.0), "double"), 12, 64)).collect()
+    assert all(abs(r["value"] - weight[r["token"]]) < 1e-9 for r in summed)
+
+
 def test_truncation_closed_form(spark):
     pairs = [(a, b, r) for a in range(12) for b in range(12) for r in range(1, 15)]
 
