@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from sieve.operators.profile import class_weight
 from sieve.operators.ranking import batched
 from sieve.operators.sampling import balanced_split
 from sieve.operators.spool import lookup, new_dir
+from sieve.operators.user_aggregate import aggregate_rows
 from sieve.plans.screening import screen
 from sieve.queries.base import (
     SCORE_SQL, SCREEN_SQL, TRAIN_SQL, VERDICTS_SQL, Tables, citations_sql, query, rounded, tokens_sql, with_sql,
@@ -115,6 +118,59 @@ def grouped_aggregate(t: Tables) -> DataFrame:
     return slices.agg(F.sum(hit).alias("n")).groupBy("topic_id").agg(total("n").alias("rel_count"))
 
 
+class Median:
+    """The median of a column of whole numbers, from how often each occurs."""
+
+    def init(self):
+        return Counter()
+
+    def update(self, state, rows):
+        state.update(rows.iloc[:, 0].dropna().astype(int).tolist())
+        return state
+
+    def merge(self, a, b):
+        return a + b
+
+    def finish(self, state):
+        values, n = sorted(state.items()), sum(state.values())
+
+        def at(place):
+            for value, times in values:
+                place -= times
+                if place < 0:
+                    return value
+
+        return None if not n else (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+class Distinct:
+    """How many different values a column has."""
+
+    def init(self):
+        return set()
+
+    def update(self, state, rows):
+        return state | set(rows.iloc[:, 0].dropna())
+
+    def merge(self, a, b):
+        return a | b
+
+    def finish(self, state):
+        return len(state)
+
+
+@query("user_aggregates", f"""
+SELECT lang AS topic_id, median(n)::DOUBLE AS median_tokens, count(DISTINCT first) AS first_words
+FROM (SELECT lang, len({tokens_sql('text')}) AS n, split_part(text, ' ', 1) AS first FROM documents) GROUP BY lang""")
+def user_aggregates(t: Tables) -> DataFrame:
+    """Two aggregates a user wrote over rows: a median and a distinct count."""
+    rows = t.texts("lang as topic_id").select(
+        "topic_id", token_count(F.col("abstract")).alias("n"), F.substring_index("abstract", " ", 1).alias("first"))
+    median = aggregate_rows(rows, ["topic_id"], ["n"], Median(), "double", "median_tokens")
+    distinct = aggregate_rows(rows, ["topic_id"], ["first"], Distinct(), "bigint", "first_words")
+    return median.join(distinct, "topic_id")  # one row per topic
+
+
 def _texts(t: Tables) -> DataFrame:
     """The balanced corpus with topic, title and abstract in one text."""
     split = balanced_split(t.citations("lang", "toxic"))
