@@ -15,12 +15,12 @@ from __future__ import annotations
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieve.llm.common import text_or_empty
 from sieve.operators.ranking import ranked
-from sieve.operators.spool import spool
+from sieve.operators.spool import lookup, spool
 
 # Frequent function words of English, French, German and Spanish.
 ANCHORS = (
@@ -92,36 +92,51 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", who
     The edited text has the last third of the characters replaced by the first as many of the next
     document; the document after the last is the first. A null text is empty, a null id comes last,
     documents with the same id follow each other by the hash of their text, and rows that agree in id
-    and text are one document in the order and give one row each, with equal values. Texts are
-    shuffled once; what a document passes on is at most a third of the receiver's length.
+    and text are one document in the order and give one row each, with equal values; they are worked on
+    once. An empty table gives no rows, and long texts are read whole.
+
+    Texts are shuffled once, and signatures are made behind the shuffle. What a document passes on is its
+    signatures, four bytes each, and at most a third of the receiver's length.
     """
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("~"))
     body = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), ident.alias("_ident"))
     body = body.withColumn("key", F.concat("_ident", F.lit(":"), F.hex(F.xxhash64("text")))).drop("_ident")
-    slim = body.select("key", "doc_id", (F.char_length("text") / 3).cast("bigint").alias("wants")).dropDuplicates(["key"])
-    order = spool(ranked(slim, [F.col("doc_id").desc_nulls_last(), "key"], name="place"), "order").df
+    slim = body.select("key", "doc_id", (F.char_length("text") / 3).cast("bigint").alias("wants"))
+    slim = slim.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("wants").alias("wants"), F.count("*").alias("copies"))
+    order = spool(ranked(slim, [F.col("doc_id").desc_nulls_last(), "key"], name="place", spread="key"), "order").df
     n = order.count()
     after = order.select(
         F.col("key").alias("taker"), F.col("wants").alias("taker_wants"), (F.col("place") % max(n, 1) + 1).alias("place")
     )
-    route = spool(order.select("key", "place").join(after, "place").select("key", "taker", "taker_wants"), "route").df
+    route = spool(order.select("key", "place", "copies").join(after, "place").select("key", "taker", "taker_wants", "copies"), "route").df
 
-    full = with_signatures(body, "text", "signatures", whole).join(route.hint("merge"), "key")
-    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    passed = full.withColumn("_once", once).filter("_once = 1").select(
+    full = _once_each(body, route).join(route.hint("merge"), "key")
+    passed = with_signatures(full, "text", "signatures", whole).select(
         F.col("taker").alias("key"),
         F.col("doc_id").alias("next_doc_id"),
         F.substring("text", F.lit(1), F.col("taker_wants").cast("int")).alias("_head"),
         F.col("signatures").alias("next_signatures"),
     )
-    both = full.select("key", "doc_id", "text", "signatures").join(passed.hint("merge"), "key")
+    both = full.select("key", "doc_id", "text", "copies").join(passed.hint("merge"), "key")
     stays = F.char_length("text") - F.floor(F.char_length("text") / 3)
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays.cast("int")), F.col("_head")))
-    both = with_signatures(both, "edited", "edited_signatures", whole)
-    return both.select(
+    both = with_signatures(with_signatures(both, "text", "signatures", whole), "edited", "edited_signatures", whole)
+    found = both.select(
         "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "next_doc_id", "text", "edited", "signatures",
-        "edited_signatures", "next_signatures",
+        "edited_signatures", "next_signatures", "copies",
     )
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
+
+
+def _once_each(body: DataFrame, route: DataFrame) -> DataFrame:
+    """One row for each key of ``body``; every task hands on one row per key at most, so that repeated rows are not gathered."""
+    repeated = spool(route.filter("copies > 1").select("key", "copies"), "repeated")
+    if repeated.df.isEmpty():
+        return body
+    rows = body.withColumn("_spread", F.spark_partition_id())
+    rows = lookup(rows, repeated, ["key"], "left", spread="_spread", weight="copies").drop("_spread")
+    again = rows.filter("copies is not null").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return rows.filter("copies is null").drop("copies").unionByName(again)
 
 
 def near_pairs(sets: DataFrame, percent: int = 80, key: str = "key", signatures: str = "signatures") -> DataFrame:

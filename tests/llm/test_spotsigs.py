@@ -95,6 +95,9 @@ def test_edge_rows(spark):
     twins = [r for r in got if r["doc_id"] == 0]
     assert len(twins) == 3 and len({(r["edited"], r["next_doc_id"]) for r in twins}) == 1
     assert spotsigs.beside_next(empty(spark)).count() == 0
+    many = spark.createDataFrame([(5, "the same cat again and again")] * 400 + [(i, f"the cat number {i}") for i in range(6)], "doc_id int, text string")
+    again = spotsigs.beside_next(many.repartition(9)).collect()
+    assert len(again) == 406 and len({(r["doc_id"], r["edited"]) for r in again}) == 7
     alone = spotsigs.beside_next(spark.createDataFrame([(1, "abcdef the cat")], "doc_id int, text string")).first()
     assert alone["next_doc_id"] == 1 and alone["edited"] == "abcdef theabcd"
     df = spotsigs.with_signatures(spark.createDataFrame([("The cat",), ("the  CAT!",), ("",)], "text string"), "text", "s")
