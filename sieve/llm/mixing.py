@@ -2,7 +2,9 @@
 
 Token counts are added up per source, every source gets a target, and its repetition rate is target
 over tokens. A document is taken floor(rate) times plus once more with the probability of the
-fraction, drawn from a hash of seed, id and text, so that a rerun takes the same copies.
+fraction, drawn from a hash of seed, id and text, so that a rerun takes the same copies. Rows that are
+equal share a draw, which then says where along them the extra copies fall, so that m equal rows get
+m times the fraction, rounded up or down.
 """
 
 from __future__ import annotations
@@ -64,6 +66,22 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: floa
     return weighted.withColumn("target", target).withColumn("rate", rate)
 
 
+def _numbered(df: DataFrame, place: str) -> DataFrame:
+    """Adds ``place``: 1, 2, .. among equal rows. Equal rows are counted before they are shuffled, and other rows are not moved."""
+    columns = df.columns
+    row, times = free_name(df, "_all"), free_name(df, "_times")
+    keyed = df.withColumn(row, F.xxhash64(*columns))
+    repeated = spool(keyed.groupBy(row).agg(F.count("*").alias(times)).filter(F.col(times) > 1), "repeated")
+    if repeated.df.isEmpty():
+        return df.withColumn(place, F.lit(1).cast("bigint"))
+    marked = lookup(keyed.withColumn(place, F.spark_partition_id()), repeated, [row], "left", spread=place, weight=times)
+    marked = marked.drop(place)
+    # The hash only brings rows together; a group holds rows that are equal in every column.
+    one = marked.filter(F.col(times).isNotNull()).groupBy(*columns).agg(F.count("*").alias(times))
+    again = one.withColumn(place, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
+    return marked.filter(F.col(times).isNull()).select(*columns, F.lit(1).cast("bigint").alias(place)).unionByName(again.select(*columns, place))
+
+
 def planned(
     df: DataFrame,
     source: str = "source",
@@ -78,11 +96,13 @@ def planned(
 
     Input columns of these names are replaced. Texts are not shuffled while the sources' table may
     be broadcast; beyond that hot sources are salted. A null text has size 0, a null source is a
-    source of its own, a source without words gets target 0 and no copies. Rows that agree in id and
-    text draw the same number. An empty table gives an empty result.
+    source of its own, a source without words gets target 0 and no copies. Rows that are equal in all
+    columns are dealt the extra copies one by one (``_numbered``). An empty table gives an empty result;
+    long texts are counted whole.
     """
     added = ("size", "source_size", "target", "rate", "copies")
-    sized = df.withColumn("size", word_count(text_or_empty(text)))
+    place = free_name(df, "_place")
+    sized = _numbered(df, place).withColumn("size", word_count(text_or_empty(text)))
     key, u, weight = (free_name(sized, x) for x in ("_key", "_draw", "_n_docs"))
     sized = sized.withColumn(key, source_key(source)).withColumn(u, draw(seed, doc_id, text))
     per_source = sized.groupBy(F.col(key).alias("key")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -93,9 +113,10 @@ def planned(
         "targets",
     )
     columns = [c for c in (keep or df.columns) if c not in added]
-    rows = lookup(sized.select(*columns, "size", key, u), dim, [key], "left", spread=u, weight=weight)
+    rows = lookup(sized.select(*columns, "size", key, u, place), dim, [key], "left", spread=u, weight=weight)
     whole = F.floor("rate")
-    extra = (F.col(u) < F.col("rate") - whole).cast("bigint")
+    upto = lambda j: F.ceil(j * (F.col("rate") - whole) - F.col(u))
+    extra = (upto(F.col(place)) - upto(F.col(place) - 1)).cast("bigint")  # for a row without equals: draw < fraction
     return rows.withColumn("copies", (whole + extra).cast("bigint")).select(*columns, *added)
 
 

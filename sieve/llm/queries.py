@@ -110,12 +110,13 @@ rates AS (
          CASE WHEN source_size > 0 THEN least(least(3.0 * source_size, weight * level) / source_size, 3.0) ELSE 0 END AS rate
   FROM weighted, last)
 SELECT doc_id, size, source_size, round(target, 3) AS target,
-       CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 13)
-                                             AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source""")
+       CAST(size * (floor(rate) + ceil(j * (rate - floor(rate)) - u) - ceil((j - 1) * (rate - floor(rate)) - u)) AS BIGINT) AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, t) AS j,
+             CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM sized) s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source""")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 9: how many words the mix takes of each document. ``target`` is rounded to 3 decimals."""
-    plan = mixing.planned(documents(spark, sf_dir), keep=["doc_id"])
+    plan = mixing.planned(documents(spark, sf_dir).select("doc_id", "source", "text"), keep=["doc_id"])
     return plan.select(
         "doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("copies") * F.col("size")).alias("taken")
     )

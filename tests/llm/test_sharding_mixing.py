@@ -103,3 +103,24 @@ def test_mix_of_edge_rows(spark):
     assert plan.filter("text is null").agg(F.max("size")).first()[0] == 0
     assert plan.schema["size"].dataType.simpleString() == "bigint" and "_key" in plan.columns
     assert set(mixing.emitted(plan, table(spark).columns).columns) == set(table(spark).columns)
+
+
+def test_mix_of_equal_rows_is_near_its_target(spark):
+    """Half of a source is one row repeated, and other sources have repeated rows as well."""
+    docs = [(1, "ten words " * 5, "a")] * 500 + [(i + 10, "w " * (10 + i % 3), "a") for i in range(480)]
+    docs += [(i % 40, f"other {i % 40} " * 4, "b") for i in range(400)] + [(None, None, None)] * 5 + [(2, "", "b")] * 3
+    df = spark.createDataFrame(docs, "doc_id int, text string, source string").repartition(7)
+    plan = mixing.planned(df)
+    assert plan.count() == len(docs) and plan.columns[:3] == df.columns
+    sums = {r["source"]: r for r in plan.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()}
+    same = plan.filter("doc_id = 1 and source = 'a'").agg(F.sum("copies"), F.max("rate")).first()
+    assert abs(same[0] - 500 * same[1]) <= 1
+    for r in (sums["a"], sums["b"]):
+        assert r["taken"] == pytest.approx(r["target"], rel=0.06)
+    assert plan.agg(F.max("copies")).first()[0] <= 3
+    again = mixing.planned(df.repartition(3))
+    key = lambda p: Counter((r["doc_id"], r["text"], r["copies"]) for r in p.collect())
+    assert key(again) == key(plan)
+    half = spark.createDataFrame([(1, "ten words " * 5, "a")] * 500 + [(i + 10, "w", "b") for i in range(2000)], "doc_id int, text string, source string")
+    taken, target = mixing.planned(half).filter("source = 'a'").agg(F.sum(F.col("copies") * F.col("size")), F.max("target")).first()
+    assert taken == pytest.approx(target, rel=0.01)
