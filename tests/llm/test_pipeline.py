@@ -105,3 +105,28 @@ def test_near_dedup_leaves_one_row_of_repeated_ids(spark):
     nobody = spark.createDataFrame([(None, "one two three four five six", "en", "s", 1)] * 3, docs.schema)
     once = corpus_pipeline.drop_near_copies(spark, docs, SF).count()
     assert corpus_pipeline.drop_near_copies(spark, docs.union(docs).union(docs.limit(7)).union(nobody), SF).count() == once + 1
+
+
+INTERNAL = (
+    "size rate copies target source_size language posterior Kept kept_ _n_values _gone_id _gone_hash _row node sig bands bucket "
+    "_key _draw _place _all _times _n_docs key u v root component_id text_hash n_shingles rep best _others _made _logs _tie _from"
+).split()
+
+
+def test_stages_leave_columns_alone_that_they_do_not_own(spark):
+    """Names that stages and operators use themselves, in columns of the documents, with values that tell."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(4)).select("*", *[
+        F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")).alias(name) if i % 2 else (F.col("doc_id") * (i + 3)).alias(name)
+        for i, name in enumerate(INTERNAL)
+    ])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and after.schema.simpleString() == docs.schema.simpleString(), name
+        rows = after.collect()
+        assert rows, name
+        for r in rows:
+            for i, c in enumerate(INTERNAL):
+                assert r[c] == (f"{c} of {r['doc_id']}" if i % 2 else r["doc_id"] * (i + 3)), (name, c)
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert corpus_pipeline.encode(spark, docs, SF).count() == docs.count()
