@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.functions import text as X
+from sieve.functions.table_functions import register
 from sieve.operators import encoding as E
 from sieve.operators.corpus import model_input, screenable
 from sieve.operators.profile import length_percentiles
@@ -183,3 +184,21 @@ def table_function(t: Tables) -> DataFrame:
     articles = t.articles().select("pid", F.col("abstract").alias("text"))
     found = articles.mapInPandas(lines, "pid string, line_no bigint, line string")
     return found.select("pid", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query("sql_table_functions", """
+WITH lines AS (
+  SELECT lang, doc_id, line_no, line FROM (
+    SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))
+SELECT lang, CAST(doc_id AS VARCHAR) AS pid, line_no, md5(line) AS line_md5, (place - 1) // 16 AS batch_id, (place - 1) % 16 AS row_in_batch
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':' || line_no)) AS place FROM lines)""")
+def sql_table_functions(t: Tables) -> DataFrame:
+    """Lines of all texts by a lateral call, then batches of each language by a call on the table."""
+    register(t.spark)
+    t.texts("lang").createOrReplaceTempView("sieve_texts")
+    lines = t.spark.sql("""
+        SELECT lang, pid, line_no, line, md5(concat(pid, ':', line_no)) AS place
+        FROM sieve_texts, LATERAL split_text(abstract, chr(10), 'line')""")
+    lines.createOrReplaceTempView("sieve_lines")
+    found = t.spark.sql("SELECT * FROM numbered_batches(TABLE(sieve_lines), 'lang', 'place', 16)")
+    return found.select("lang", "pid", "line_no", F.md5("line").alias("line_md5"), "batch_id", "row_in_batch")

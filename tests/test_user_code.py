@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 
+from sieve.functions.table_functions import register
 from sieve.operators import user_aggregate as U
 from sieve.queries.learning import Distinct, Median
 
@@ -56,3 +57,27 @@ def test_a_hot_group_is_shared_by_tasks(spark):
 
     df = spark.range(40_000).selectExpr("'hot' as topic", "id").repartition(16)
     assert U.aggregate_rows(df, ["topic"], ["id"], Largest(), "bigint").first()["value"] <= 2 * 40_000 // 16
+
+
+def test_lateral_table_function(spark):
+    register(spark)
+    df = spark.createDataFrame([(1, "a,b,,c"), (2, None), (3, ""), (4, "x")], "id int, text string")
+    df.createOrReplaceTempView("sieve_split_in")
+    out = spark.sql("SELECT id, s.* FROM sieve_split_in, LATERAL split_text(text, ',', 'piece') s")
+    assert out.schema.simpleString() == "struct<id:int,piece_no:bigint,piece:string>"
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a"), (1, 2, "b"), (1, 3, ""), (1, 4, "c"), (3, 1, ""), (4, 1, "x")]
+    assert spark.sql("SELECT * FROM split_text('a b', ' ', 'other')").columns == ["other_no", "other"]
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT s.* FROM sieve_split_in, LATERAL split_text(text, ',', text) s").collect()
+
+
+def test_table_function_over_groups(spark):
+    register(spark)
+    data = [(t, f"p{i:03d}", i) for t, n in (("hot", 500), ("b", 7), (None, 5)) for i in range(n)]
+    spark.createDataFrame(data, "topic string, pid string, n int").repartition(9).createOrReplaceTempView("sieve_batches_in")
+    out = spark.sql("SELECT * FROM numbered_batches(TABLE(sieve_batches_in), 'topic', 'pid', 4)")
+    assert out.schema.simpleString() == "struct<topic:string,pid:string,n:int,batch_id:bigint,row_in_batch:bigint>"
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((t, p, i, i // 4, i % 4) for t, p, i in data), key=str)
+    for call in ("'nope', 'pid', 4", "'topic', 'pid', 0"):
+        with pytest.raises(Exception, match="no column|above 0"):
+            spark.sql(f"SELECT * FROM numbered_batches(TABLE(sieve_batches_in), {call})").collect()
