@@ -16,6 +16,7 @@ from sieve.queries.base import ARTICLES_SQL, SPLIT_SQL, TRAIN_SQL, Tables, query
 from sieve.queries.exchange import article_records, write_xml
 from sieve.sources import pubmed
 from sieve.streaming import verdicts
+from sieve.streaming.open_verdicts import read_open_changes, stream_open_verdicts
 
 _KEY = "coalesce(pid, '')"
 REPEATED_SQL = """judged AS (SELECT d.doc_id, lang, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
@@ -185,7 +186,7 @@ def drawn_shards(t: Tables) -> DataFrame:
     return pubmed.read_shards(t.spark, folder, names)[0].select("pid", F.md5("title").alias("title_md5"))
 
 
-@query("open_verdict_stream", """
+OPEN_SQL = """
 WITH e AS (
   SELECT CAST(user_id AS VARCHAR) AS reviewer, event_type AS topic_id, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS article_id,
          CASE WHEN value >= 50 THEN 'Relevant' ELSE 'Irrelevant' END AS verdict, ts, event_id FROM events),
@@ -195,17 +196,33 @@ stays AS (
             OVER (PARTITION BY reviewer ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stay FROM marked)
 SELECT reviewer, topic_id, article_id, verdict, event_id FROM stays
 QUALIFY stay = max(stay) OVER (PARTITION BY reviewer)
-  AND row_number() OVER (PARTITION BY reviewer, stay, article_id ORDER BY ts DESC, event_id DESC) = 1""")
-def open_verdict_stream(t: Tables) -> DataFrame:
-    """Verdicts arrive as a stream; turning to another topic clears those before, also after compaction."""
-    events = t.table("events").selectExpr(
+  AND row_number() OVER (PARTITION BY reviewer, stay, article_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+def _review_events(t: Tables) -> DataFrame:
+    return t.table("events").selectExpr(
         "cast(user_id as string) as reviewer", "event_type as topic_id",
         "cast(cast(floor(value / 10) as bigint) as string) as article_id",
         "case when value >= 50 then 'Relevant' else 'Irrelevant' end as verdict", "ts", "event_id",
     )
-    landed = spool(events.repartition(8), "events")
+
+
+@query("open_verdict_stream", OPEN_SQL)
+def open_verdict_stream(t: Tables) -> DataFrame:
+    """Verdicts arrive as a stream; turning to another topic clears those before, also after compaction."""
+    landed = spool(_review_events(t).repartition(8), "events")
     arriving = t.spark.readStream.schema(landed.df.schema).option("maxFilesPerTrigger", 3).parquet(landed.path)
     folder, keys = new_dir(t.spark, "open-verdicts"), ("reviewer", *verdicts.KEYS)
     verdicts.stream_verdicts(arriving, f"{folder}/table", f"{folder}/progress", keys).awaitTermination()
     verdicts.compact_verdicts(t.spark, f"{folder}/table", keys)
     return verdicts.read_open_verdicts(t.spark, f"{folder}/table").drop("ts")
+
+
+@query("cleared_verdict_stream", OPEN_SQL)
+def cleared_verdict_stream(t: Tables) -> DataFrame:
+    """The same with state that the stream clears itself; events arrive shuffled."""
+    landed = spool(_review_events(t).repartition(8), "events")
+    arriving = t.spark.readStream.schema(landed.df.schema).option("maxFilesPerTrigger", 4).parquet(landed.path)
+    folder = new_dir(t.spark, "cleared-verdicts")
+    stream_open_verdicts(arriving, f"{folder}/table", f"{folder}/progress").awaitTermination()
+    return read_open_changes(t.spark, f"{folder}/table").drop("ts")
