@@ -6,11 +6,13 @@ disk, which is what decides whether it may be broadcast.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,33 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with ``text``, whole and at once; False where there is one already, whoever else tries."""
+    jpath, fs = _file_system(spark, path)
+    draft, _ = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(draft, False)
+    stream.write(text.encode())
+    stream.close()
+    try:
+        if jpath.toUri().getScheme() in (None, "file") and fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), jpath.toUri().getPath())  # fails where the name is taken; a rename would replace
+            return True
+        jvm = spark._jvm
+        none = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = none
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(jpath.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, jpath, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
 def spool(df: DataFrame, name: str = "table") -> Spooled:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession

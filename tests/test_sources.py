@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import gzip
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql.types import StructType
 
 from sieve import schemas
-from sieve.operators.spool import new_dir
+from sieve.operators.spool import children, new_dir, publish
 from sieve.sources import files, pubmed, tables
 
 TOPIC = """Topic: CD000001
@@ -218,7 +219,8 @@ def test_damaged_result_file_is_skipped(spark):
     store = new_dir(spark, "store")
     fields = StructType.fromDDL("pid string")
     tables.append_results(spark.createDataFrame([("t", "a")], "topic_id string, pid string"), store)
-    with open(f"{store}/topic_id=t/run_id=0/damaged.parquet", "wb") as f:
+    (folder,) = [p for p in children(spark, store) if "append=" in p]
+    with open(f"{folder.removeprefix('file:')}/topic_id=t/damaged.parquet", "wb") as f:
         f.write(b"not a table")
     assert rows(tables.read_results(spark, store, fields, "t").select("pid")) == [("a",)]
 
@@ -228,3 +230,30 @@ def test_empty_catalogue(spark):
     spark.createDataFrame([], "topic_id string, run_id int, pid string").write.parquet(store)
     with pytest.raises(LookupError):
         tables.topic_catalogue(spark, store, StructType.fromDDL("pid string"))
+
+
+def test_two_writers_and_one_that_breaks_off(spark):
+    store = new_dir(spark, "writers")
+    fields = StructType.fromDDL("pid string")
+    make = lambda who: spark.createDataFrame([(t, f"{who}-{t}") for t in ("t", "u", who)] + [(None, who)], "topic_id string, pid string")
+    with ThreadPoolExecutor(4) as pool:
+        commits = list(pool.map(lambda who: tables.append_results(make(who), store), ["a", "b", "c", "d"]))
+    assert sorted(commits) == [0, 1, 2, 3]
+    got = [(r["run_id"], r["pid"]) for r in tables.read_results(spark, store, fields, "t").collect()]
+    assert sorted(n for n, _ in got) == [0, 1, 2, 3] and {p for _, p in got} == {f"{w}-t" for w in "abcd"}
+    assert all(tables.read_results(spark, store, fields, w).first()["run_id"] == 0 for w in "abcd")
+    # One that breaks off before its commit: rows are there, and even run numbers, but nobody sees them.
+    make("lost").write.partitionBy("topic_id").parquet(f"{store}/append=lost")
+    spark.createDataFrame([("t", 4)], "topic_id string, run_id int").write.parquet(f"{store}/_commits/runs-lost")
+    assert tables.read_results(spark, store, fields, "t").count() == 4
+    assert "lost" not in {r[0] for r in tables.topic_catalogue(spark, store, fields).collect()}
+    assert tables.append_results(make("e"), store) == 4
+    assert tables.read_results(spark, store, fields, "t").agg({"run_id": "max"}).first()[0] == 4
+
+
+def test_a_published_file_is_there_once(spark):
+    path = f"{new_dir(spark, 'claims')}/x"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: publish(spark, path, f"writer {i}"), range(8)))
+    assert sum(won) == 1 and spark.read.text(path).first()[0] == f"writer {won.index(True)}"
+    assert [p.rsplit("/", 1)[1] for p in children(spark, path.rsplit("/", 1)[0])] == ["x"]
