@@ -10,8 +10,10 @@ from sieve.functions.text import shard_name
 from sieve.operators import sampling as S
 from sieve.operators.corpus import not_null
 from sieve.operators.ranking import batched, chunked, draw_shards
+from sieve.operators.spool import new_dir
 from sieve.plans.corpus_build import sampled_corpus
 from sieve.queries.base import BALANCED_SQL, SCREEN_SQL, SPLIT_SQL, Tables, citations_sql, query, with_sql
+from sieve.sources.batches import read_batch, read_from, write_batches
 
 
 @query("negative_sampling", """
@@ -122,6 +124,22 @@ def batches(t: Tables) -> DataFrame:
     return shuffled.unionByName(in_order)
 
 
+@query("batch_export", """
+WITH placed AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), CAST(doc_id AS VARCHAR)) - 1 AS place FROM documents)
+SELECT 'all' AS how, lang AS topic_id, CAST(doc_id AS VARCHAR) AS pid, place // 16 AS batch_id, place % 16 AS row_in_batch, md5(text) AS text_md5 FROM placed
+UNION ALL SELECT 'one batch', lang, CAST(doc_id AS VARCHAR), place // 16, place % 16, md5(text) FROM placed WHERE lang = 'en' AND place // 16 = 3
+UNION ALL SELECT 'resumed', lang, CAST(doc_id AS VARCHAR), place // 16, place % 16, md5(text) FROM placed WHERE lang = 'en' AND place // 16 >= 5""")
+def batch_export(t: Tables) -> DataFrame:
+    """Shuffled batches of all texts as files with an index; read as a whole, one batch alone, and from a batch on."""
+    folder = new_dir(t.spark, "batches")
+    write_batches(batched(t.table("documents").selectExpr("lang as topic_id", "cast(doc_id as string) as pid", "text"), 16), folder, per_file=4)
+    cols = ["how", "topic_id", "pid", "batch_id", "row_in_batch", F.md5("text").alias("text_md5")]
+    every = t.spark.read.parquet(f"{folder}/rows").withColumn("how", F.lit("all")).select(*cols)
+    one = read_batch(t.spark, folder, 3, topic_id="en").withColumn("how", F.lit("one batch")).select(*cols)
+    rest = read_from(t.spark, folder, 5, topic_id="en").withColumn("how", F.lit("resumed")).select(*cols)
+    return every.union(one).union(rest)
+
+
 @query("shard_sample", """
 WITH shards AS (SELECT DISTINCT l_suppkey AS shard FROM lineitem),
 drawn AS (SELECT shard FROM shards ORDER BY md5('42:' || shard), CAST(shard AS VARCHAR) LIMIT 20)

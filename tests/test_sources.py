@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from sieve import schemas
 from sieve.operators.spool import children, new_dir, publish
-from sieve.sources import files, pubmed, tables
+from sieve.sources import batches, files, pubmed, tables
 
 TOPIC = """Topic: CD000001
 
@@ -257,3 +257,28 @@ def test_a_published_file_is_there_once(spark):
         won = list(pool.map(lambda i: publish(spark, path, f"writer {i}"), range(8)))
     assert sum(won) == 1 and spark.read.text(path).first()[0] == f"writer {won.index(True)}"
     assert [p.rsplit("/", 1)[1] for p in children(spark, path.rsplit("/", 1)[0])] == ["x"]
+
+
+def test_batches_are_read_from_their_own_files(spark):
+    path = new_dir(spark, "export")
+    data = [(t, f"p{i:03d}", i // 4, i % 4) for t, n in (("007", 90), ("7", 10), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(data, "topic_id string, pid string, batch_id bigint, row_in_batch bigint").repartition(5)
+    batches.write_batches(df, path, per_file=5)
+    for topic, n in (("007", 90), ("7", 10), (None, 5)):
+        for batch in range(-(-n // 4)):
+            out = batches.read_batch(spark, path, batch, topic_id=topic)
+            assert [(r["topic_id"], r["pid"]) for r in out.collect()] == [(topic, f"p{i:03d}") for i in range(batch * 4, min(n, batch * 4 + 4))]
+            assert len(out.inputFiles()) == 1
+        rest = batches.read_from(spark, path, 1, topic_id=topic)
+        assert {r["pid"] for r in rest.collect()} == {f"p{i:03d}" for i in range(4, n)}
+    scan = batches.read_from(spark, path, 17, topic_id="007")._jdf.queryExecution().executedPlan().toString()
+    assert "file_no" in scan.split("PartitionFilters")[1].split("]")[0]
+    index = batches.batch_index(spark, path).collect()
+    assert sum(r["n_rows"] for r in index) == len(data) and all(r["n_rows"] <= 4 for r in index)
+    with pytest.raises(LookupError):
+        batches.read_batch(spark, path, 99, topic_id="7")
+    with pytest.raises(FileExistsError):
+        batches.write_batches(df, path)
+    df.write.parquet(f"{path}-half/rows")  # broken off
+    with pytest.raises(FileNotFoundError):
+        batches.read_batch(spark, f"{path}-half", 0, topic_id="7")
