@@ -99,20 +99,32 @@ def article_xml(t: Tables) -> DataFrame:
 
 
 @query("csv_round_trip", with_sql(ARTICLES_SQL, """
-SELECT pid, CASE WHEN lang <> 'fr' THEN title END AS title, md5('"' || title || '", ' || abstract || '  ') AS abstract_md5
-FROM articles"""))
+SELECT pid, title, md5('"' || title || '", ' || abstract || '  ') AS abstract_md5 FROM articles
+UNION ALL SELECT 'untitled ' || pid, NULL, md5('"' || title || '", ' || abstract || '  ') FROM articles WHERE lang = 'fr'"""))
 def csv_round_trip(t: Tables) -> DataFrame:
+    """All articles, and one without a title beside each French one."""
     folder = new_dir(t.spark, "csv")
-    rows = t.articles("lang").select(
-        F.col("pid").alias("PMID"),
-        F.when(F.col("lang") == "fr", "N/A").otherwise(F.col("title")).alias("ArticleTitle"),
-        F.concat(F.lit('"'), "title", F.lit('", '), "abstract", F.lit("  ")).alias("Abstract"),
-    )
+    rows = t.articles("lang").withColumn("Abstract_", F.concat(F.lit('"'), "title", F.lit('", '), "abstract", F.lit("  ")))
+    untitled = rows.filter("lang = 'fr'").withColumns({"pid": F.concat(F.lit("untitled "), "pid"), "title": F.lit("N/A")})
+    rows = rows.union(untitled).select(F.col("pid").alias("PMID"), F.col("title").alias("ArticleTitle"), F.col("Abstract_").alias("Abstract"))
     tables.write_csv(rows, folder)
     back = tables.read_csv(t.spark, f"{folder}/*.csv", ARTICLES_CSV)
     return back.select(F.col("PMID").alias("pid"), F.col("ArticleTitle").alias("title"), F.md5("Abstract").alias("abstract_md5"))
 
 
+@query("suffix_files", with_sql(ARTICLES_SQL, """
+SELECT pid, md5(title) AS title_md5 FROM articles WHERE lang IN ('en', 'de')"""))
+def suffix_files(t: Tables) -> DataFrame:
+    """Files of three kinds in one tree; those with two of the suffixes are opened."""
+    folder = new_dir(t.spark, "suffixes")
+    lines = t.articles("lang").select("lang", F.concat_ws("\t", "pid", "title").alias("value"))
+    for lang, kind in (("en", "gzip"), ("de", "bzip2"), ("fr", "none")):
+        lines.filter(F.col("lang") == lang).select("value").write.option("compression", kind).text(f"{folder}/deep/{lang}")
+    found = files.scan_files(t.spark, folder, suffixes=[".txt.gz", "txt.bz2"])
+    line = found.select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
+    return line.select(F.substring_index("line", "\t", 1).alias("pid"), F.md5(F.expr("substr(line, instr(line, '\t') + 1)")).alias("title_md5"))
+
+
 @query("chunk_files", with_sql(ARTICLES_SQL, "SELECT pid, title, md5(abstract) AS abstract_md5 FROM articles"))
 def chunk_files(t: Tables) -> DataFrame:
     """One folder per chunk of ids; the files then arrive as a stream and end up in one table."""

@@ -254,12 +254,15 @@ def highlight(t: Tables) -> DataFrame:
 @query("rebuild_text", with_sql(ARTICLES_SQL, f"""
 SELECT pid, CASE WHEN len(tt) = 0 THEN 'Abstract not available.' ELSE array_to_string(list_transform(tt, lambda w, i:
          CASE WHEN i > 1 AND regexp_matches(w, '^[A-Za-z0-9_]') THEN ' ' || w ELSE w END), '') END AS text
-FROM (SELECT pid, {tokens_sql("CASE WHEN lang = 'fr' THEN '' ELSE abstract END")} AS tt FROM articles)"""))
+FROM (SELECT pid, {tokens_sql("abstract")} AS tt FROM articles
+      UNION ALL SELECT 'empty ' || pid, {tokens_sql("''")} FROM articles WHERE lang = 'fr')"""))
 def rebuild_text(t: Tables) -> DataFrame:
-    text = F.when(F.col("lang") != "fr", F.col("abstract")).otherwise("")
-    parts = F.transform(tokens(text), lambda w: F.struct(w.alias("token"), F.lit(0.0).alias("value")))
+    """All texts, and an empty one beside each French one."""
+    rows = t.texts("lang")
+    none = rows.filter("lang = 'fr'").select(F.concat(F.lit("empty "), "pid").alias("pid"), F.lit("").alias("abstract"))
+    parts = F.transform(tokens(F.col("abstract")), lambda w: F.struct(w.alias("token"), F.lit(0.0).alias("value")))
     rebuilt = R.rebuilt_text(F.col("parts"), F.lit("Abstract not available."))
-    return t.texts("lang").withColumn("parts", parts).select("pid", rebuilt.alias("text"))
+    return rows.select("pid", "abstract").union(none).withColumn("parts", parts).select("pid", rebuilt.alias("text"))
 
 
 @query("display", with_sql([*SCORE_SQL, VERDICTS_SQL], """
@@ -311,6 +314,26 @@ def topic_result(t: Tables) -> DataFrame:
     )
 
 
+@query("topic_json", with_sql([*SCORE_SQL, VERDICTS_SQL, TOP_WORDS_SQL, """placed AS (
+  SELECT v.topic_id, v.pid, verdict, title, abstract, row_number() OVER (PARTITION BY v.topic_id ORDER BY v.pid) - 1 AS position
+  FROM verdicts v JOIN split s ON v.topic_id = s.topic_id AND v.pid = s.pid)"""], """
+SELECT topic_id AS topic_name, position // 15 AS page, position % 15 AS place, p.pid, title, md5(abstract) AS abstract_md5, verdict, token AS top_word
+FROM placed p LEFT JOIN (SELECT topic_id, pid, token FROM top_words WHERE rank = 1) USING (topic_id, pid)"""))
+def topic_json(t: Tables) -> DataFrame:
+    """Every article read back from the JSON of its topic's page."""
+    s = screen(t.citations())
+    places = ranked(s.test.select("topic_id", "pid"), ["pid"], ["topic_id"], "position").withColumn("position", F.col("position") - 1)
+    pages = R.topic_pages(readable(s.test, s.model).join(places, ["topic_id", "pid"]))
+    article = "struct<title: string, abstract: string, verdict: string, top_words: array<struct<token: string, value: double>>>"
+    back = pages.select("page", F.from_json("json", f"topic_name string, articles array<{article}>").alias("r"))
+    each = back.select(F.col("r.topic_name").alias("topic_id"), "page", F.posexplode("r.articles").alias("place", "a"))
+    each = each.withColumn("position", F.col("page") * 15 + F.col("place")).join(places, ["topic_id", "position"])
+    return each.select(
+        F.col("topic_id").alias("topic_name"), "page", F.col("place").cast("bigint").alias("place"), "pid", "a.title", F.md5("a.abstract").alias("abstract_md5"),
+        "a.verdict", F.get("a.top_words", F.lit(0))["token"].alias("top_word"),
+    )
+
+
 def verdict_events(t: Tables) -> DataFrame:
     return t.table("events").selectExpr(
         "cast(user_id as string) as article_id", "event_type as verdict", "ts", "event_id"

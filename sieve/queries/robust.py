@@ -168,6 +168,25 @@ def broken_xml(t: Tables) -> DataFrame:
     return out.unionByName(lost, allowMissingColumns=True)
 
 
+def _xml_shards(t: Tables) -> tuple[str, DataFrame]:
+    """The articles as one XML shard per source, and the records they were made of."""
+    folder = new_dir(t.spark, "shards")
+    rows = t.articles("cast(substr(source, 4) as int) as shard")
+    records = article_records(rows, F.lit(""), "shard").withColumn("name", shard_name(F.col("shard")))
+    body = spool(records.select("name", "shard", "value"), "records").df
+    whole = F.concat(F.lit("<PubmedArticleSet>"), "value", F.lit("</PubmedArticleSet>"))  # or a file would count as broken off
+    body.select("name", whole.alias("value")).hint("rebalance", "name").write.partitionBy("name").text(folder)
+    return folder, body
+
+
+@query("shard_sweep", with_sql(ARTICLES_SQL, "SELECT pid, md5(title) AS title_md5, false AS rejected FROM articles"))
+def shard_sweep(t: Tables) -> DataFrame:
+    """All shards of a folder by name, and nothing is lost on the way."""
+    articles, lost = pubmed.sweep(t.spark, _xml_shards(t)[0], pattern="name=pubmed25n*.xml.gz", partitions=8)
+    bad = lost.select(F.lit(None).cast("string").alias("pid"), F.md5("file").alias("title_md5"), F.lit(True).alias("rejected"))
+    return articles.select("pid", F.md5("title").alias("title_md5"), F.lit(False).alias("rejected")).unionByName(bad)
+
+
 @query("drawn_shards", with_sql(ARTICLES_SQL, """
 SELECT pid, md5(title) AS title_md5 FROM articles
 WHERE CAST(substr(source, 4) AS INTEGER) IN (SELECT shard FROM (
@@ -175,11 +194,7 @@ WHERE CAST(substr(source, 4) AS INTEGER) IN (SELECT shard FROM (
   ORDER BY md5('42:' || shard), CAST(shard AS VARCHAR) LIMIT 5)"""))
 def drawn_shards(t: Tables) -> DataFrame:
     """One XML shard per source; five are drawn by name, and only their files are read."""
-    folder = new_dir(t.spark, "shards")
-    rows = t.articles("cast(substr(source, 4) as int) as shard")
-    records = article_records(rows, F.lit(""), "shard").withColumn("name", shard_name(F.col("shard")))
-    body = spool(records.select("name", "shard", "value"), "records").df
-    body.select("name", "value").hint("rebalance", "name").write.partitionBy("name").text(folder)
+    folder, body = _xml_shards(t)
     names = draw_shards(body.select("shard").distinct(), 5).select(
         F.concat(F.lit("name="), shard_name(F.col("shard"))).alias("name")
     )

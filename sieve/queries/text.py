@@ -25,16 +25,20 @@ vocabulary AS (
 
 @query("model_input", """
 WITH rows AS (
-  SELECT CAST(doc_id AS VARCHAR) AS pid, CASE WHEN n_chars >= 200 THEN split_part(text, chr(10), 1) END AS title,
-         CASE WHEN n_chars >= 80 THEN '  ' || text || chr(9) || ' ' END AS abstract FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS pid, split_part(text, chr(10), 1) AS title, '  ' || text || chr(9) || ' ' AS abstract FROM documents
+  UNION ALL SELECT 'untitled ' || doc_id, NULL, '  ' || text || chr(9) || ' ' FROM documents WHERE n_chars < 200
+  UNION ALL SELECT 'bare ' || doc_id, split_part(text, chr(10), 1), NULL FROM documents WHERE n_chars < 200
+  UNION ALL SELECT 'nothing ' || doc_id, NULL, NULL FROM documents WHERE n_chars < 200)
 SELECT pid, md5(trim(concat(coalesce(title, ''), ' ', coalesce(abstract, '')), chr(9) || ' ')) AS text_md5,
        md5(concat_ws(' ', title, abstract)) AS joined_md5, md5(coalesce(title, 'nan') || ' ' || coalesce(abstract, 'nan')) AS printed_md5
 FROM rows WHERE trim(concat(coalesce(title, ''), ' ', coalesce(abstract, '')), chr(9) || ' ') <> ''""")
 def model_input_query(t: Tables) -> DataFrame:
-    rows = t.articles("n_chars").select(
-        "pid", F.when(F.col("n_chars") >= 200, F.col("title")).alias("title"),
-        F.when(F.col("n_chars") >= 80, F.concat(F.lit("  "), "abstract", F.lit("\t "))).alias("abstract"),
-    )
+    """All articles, and beside each short one its parts without the others."""
+    rows = t.articles("n_chars").withColumn("abstract", F.concat(F.lit("  "), "abstract", F.lit("\t ")))
+    short, none = rows.filter("n_chars < 200"), F.lit(None).cast("string")
+    named = lambda word, **columns: short.withColumns({"pid": F.concat(F.lit(f"{word} "), "pid"), **columns})
+    for more in (named("untitled", title=none), named("bare", abstract=none), named("nothing", title=none, abstract=none)):
+        rows = rows.union(more)
     rows = model_input(rows, "title", "abstract", name="joined")
     rows = model_input(rows, "title", "abstract", name="printed", null_as="nan")
     return screenable(rows).select(

@@ -45,13 +45,17 @@ def _pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def _records(pieces: DataFrame) -> DataFrame:
     """Adds ``lost``, what lies before the record in its piece (a record that was never closed), the
     record itself and ``r``, its parsed form; the piece behind the last record has none."""
-    tail = F.substring_index("piece", _BEGIN, -1)
-    opens = F.col("piece").contains(_BEGIN) & tail.rlike(r"^[\s>]")
-    before = F.substring("piece", F.lit(1), F.length("piece") - F.length(tail) - len(_BEGIN))
-    cut = pieces.withColumn("record", F.when(opens, F.concat(F.lit(_BEGIN), tail, F.lit(_END))))
-    cut = cut.withColumn("lost", F.when(opens & before.rlike(rf"{_BEGIN}[\s>]"), before))
+    # One pass over the piece: what begins at its last record, and whether others begin before.
+    cut = pieces.withColumn("_parts", F.split("piece", rf"{_BEGIN}(?=[\s>])"))
+    last = F.element_at("_parts", -1)
+    before = F.substring("piece", F.lit(1), F.length("piece") - F.length(last) - len(_BEGIN))
+    cut = cut.select(
+        "file", F.when(F.size("_parts") > 1, F.concat(F.lit(_BEGIN), last, F.lit(_END))).alias("record"),
+        F.when(F.size("_parts") > 2, before).alias("lost"),
+    )
     options = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    return cut.withColumn("r", F.from_xml("record", _SCHEMA, options))
+    # Behind a generator a filter on the parsed record stays, so that a record is parsed once.
+    return cut.select("file", "record", "lost", F.explode(F.array(F.from_xml("record", _SCHEMA, options))).alias("r"))
 
 
 def read_articles(spark: SparkSession, paths: str | Sequence[str], compat: bool = False, stripped: bool = False,
@@ -109,6 +113,6 @@ def read_shards(spark: SparkSession, folder: str, names: DataFrame, **options) -
     return read_articles(spark, paths, **options)
 
 
-def sweep(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+def sweep(spark: SparkSession, folder: str, pattern: str = "pubmed25n*.xml.gz", **options) -> tuple[DataFrame, DataFrame]:
     """All articles of all shards in ``folder``, and what was rejected."""
-    return read_articles(spark, f"{folder}/pubmed25n*.xml.gz", **options)
+    return read_articles(spark, f"{folder}/{pattern}", **options)
