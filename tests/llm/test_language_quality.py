@@ -122,3 +122,89 @@ def test_fit_orders_thresholds():
     weights, cuts = ordinal.fit(rows_, np.array([(i % 50) // 13 for i in range(500)]), 4)
     assert (np.diff(cuts) > 0).all() and weights[45] > weights[20] > weights[3]
     assert draw is not None
+
+
+def test_no_label_is_lost_however_rare(spark, monkeypatch):
+    """Many labels, one of them with a single text, one text that most rows copy, and a small sample."""
+    monkeypatch.setattr(language, "HELD", 3)
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    data, words = [], {}
+    for i in range(230):
+        name = f"l{i:03d}"
+        words[name] = ["".join(draw.choices(letters, k=5)) for _ in range(6)]
+        data += [(name, " ".join(draw.choices(words[name], k=30))) for _ in range(1 if i == 7 else 4)]
+    data += [("l000", "copied text again and again")] * 3000 + [(None, "no label")] * 5 + [("l001", None)]
+    df = spark.createDataFrame(data, "lang string, text string").repartition(6)
+    model = language.fit_texts(df, "lang", sample=20)
+    assert len(model.languages) == 230 and model.weights.value.shape == (language.SLOTS, 230)
+    probe = spark.createDataFrame([(n, " ".join(w * 4)) for n, w in words.items()], "lang string, text string")
+    found = language.identified(probe, model)
+    assert found.filter("language = lang").count() >= 228
+    # The counts of the copied text are in once.
+    table = np.exp(model.weights.value[:, 0].astype(float))
+    once = len(language._grams("copied text again and again"))
+    total = sum(len(language._grams(t)) for t in {t for n, t in data if n == "l000"})
+    slot = language._grams("copied text again and again")[0]
+    assert table[slot] == pytest.approx((np.bincount(np.concatenate([language._grams(t) for t in {t for n, t in data if n == "l000"}]), minlength=language.SLOTS)[slot] + language.SMOOTHING) / (total + language.SMOOTHING * language.SLOTS), rel=1e-4) and once
+    assert language.fit_texts(df.filter("lang is null"), "lang").languages == ()
+
+
+def brute(rows, model):
+    """The fusion by plain Python: (language, posterior) of each (text, declared, suffix, host)."""
+    k, table = len(model.languages), model.weights.value
+    grams = [language._grams(t or "") for t, *_ in rows]
+    logs = [(language.TEMPER * table[g].sum(axis=0, dtype=np.float64)).astype(np.float32).astype(float) if len(g) else None for g in grams]
+    said = [None if x is None else int(x.argmax()) for x in logs]
+    domain = [None if h is None or "." not in h else ".".join(h.split(".")[-2:]) for *_, h in rows]
+    tally = {}
+    for i, (_, declared, suffix, host) in enumerate(rows):
+        if said[i] is not None:
+            for key in (("all", ""), ("host", host), ("domain", domain[i]), ("declared", declared), ("suffix", suffix)):
+                if key[1] is not None:
+                    tally.setdefault(key, np.zeros(k))[said[i]] += 1
+    overall = (tally[("all", "")] + 1) / (tally[("all", "")].sum() + k)
+    out = []
+    for i, (_, declared, suffix, host) in enumerate(rows):
+        if said[i] is None:
+            out.append((None, 0.0))
+            continue
+        mine, p = np.eye(k)[said[i]], overall
+        for key in (("domain", domain[i]), ("host", host)):
+            if key[1] is not None:
+                own = tally[key]
+                p = (own - mine + language.HOST_WEIGHT * p) / (own.sum() - 1 + language.HOST_WEIGHT)
+        post = logs[i] + np.log(p)
+        for key in (("declared", declared), ("suffix", suffix)):
+            if key[1] is not None:
+                post = post + np.log((tally[key] + 0.5) / overall)
+        best = int(post.argmax())
+        out.append((model.languages[best], 1 / np.exp(post - post[best]).sum()))
+    return out
+
+
+def test_fusion_against_brute_force(spark, trained):
+    _, model = trained
+    draw = random.Random(12)
+    rows = []
+    for i in range(300):
+        lang = draw.choice(["aa", "bb"])
+        words = draw.choices(WORDS[draw.choice(["aa", "bb"])] if draw.random() < 0.2 else WORDS[lang], k=draw.choice([0, 1, 1, 2, 6]))
+        declared = draw.choice([lang, lang, "aa", "zz", None])
+        host = draw.choice([f"h{i % 9}.{lang}", f"www.h{i % 3}.{lang}", "plain", None])
+        rows.append((" ".join(words) if words else draw.choice(["", None, "12 !"]), declared, draw.choice([lang, None]), host))
+    rows += rows[:20]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, declared string, suffix string, host string").repartition(5)
+    found = language.identified(df, model, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, (name, posterior) in enumerate(brute(rows, model)):
+        assert got[i]["posterior"] == pytest.approx(posterior, abs=1e-6) and got[i]["kept"] == (posterior >= language.MIN_POSTERIOR)
+        assert got[i]["language"] == name or abs(posterior - 0.5) < 1e-6
+
+
+def test_ties_between_languages_go_to_the_first(spark):
+    data = [("b", "same words here"), ("a", "same words here"), ("c", "quite other things")]
+    df = spark.createDataFrame(data, "lang string, text string")
+    model = language.fit_texts(df, "lang")
+    found = language.identified(df, model).filter("text = 'same words here'").collect()
+    assert [r["language"] for r in found] == ["a", "a"]
