@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from sieve.operators.model import load_model, save_model
 from sieve.operators.ranking import chunked, ranked
+from sieve.operators import sketches
 from sieve.operators.spool import new_dir, spool
 from sieve.plans.screening import screen
 from sieve.queries.base import ARTICLES_SQL, TRAIN_SQL, Tables, query, with_sql
@@ -137,6 +138,31 @@ def chunk_files(t: Tables) -> DataFrame:
     return stored.select(F.col("PID").alias("pid"), "title", F.md5("abstract").alias("abstract_md5"))
 
 
+@query("distinct_sketches", """
+SELECT lang AS topic_id, count(DISTINCT text) AS n_texts, count(DISTINCT source) AS n_sources, true AS close FROM documents GROUP BY lang
+UNION ALL SELECT NULL, count(DISTINCT text), count(DISTINCT source), true FROM documents""")
+def distinct_sketches(t: Tables) -> DataFrame:
+    """Distinct texts and sources from sketches of chunks that arrive in turn, and whether texts are within 4 per cent."""
+    folder = new_dir(t.spark, "sketches")
+    rows = t.table("documents").select(F.col("lang").alias("topic_id"), "text", "source")
+    landed = spool(rows.repartition(8), "rows")
+    arriving = t.spark.readStream.schema(landed.df.schema).option("maxFilesPerTrigger", 3).parquet(landed.path)
+    for column in ("text", "source"):
+        sketches.stream_chunks(arriving, f"{folder}/{column}", f"{folder}/{column}-progress", column, ["topic_id"]).awaitTermination()
+    exact = rows.groupBy("topic_id").agg(F.count_distinct("text").alias("n_texts"))
+    exact = exact.unionByName(rows.agg(F.lit(None).cast("string").alias("topic_id"), F.count_distinct("text").alias("n_texts")))
+
+    def estimates(column: str, name: str) -> DataFrame:
+        of_topic = sketches.distinct_estimate(t.spark, f"{folder}/{column}", ["topic_id"], name)
+        whole = sketches.distinct_estimate(t.spark, f"{folder}/{column}", name=name)
+        return of_topic.unionByName(whole.withColumn("topic_id", F.lit(None).cast("string"))).withColumnRenamed("topic_id", f"_{column}")
+
+    # A sketch of few values counts them exactly.
+    found = exact.join(estimates("text", "guess"), F.col("topic_id").eqNullSafe(F.col("_text")))
+    found = found.join(estimates("source", "n_sources"), F.col("topic_id").eqNullSafe(F.col("_source")))
+    return found.select("topic_id", "n_texts", "n_sources", (F.abs(F.col("guess") / F.col("n_texts") - 1) <= 0.04).alias("close"))
+
+
 @query("chunk_batch_read", with_sql(ARTICLES_SQL, "SELECT pid, title, md5(abstract) AS abstract_md5 FROM articles"))
 def chunk_batch_read(t: Tables) -> DataFrame:
     folder = new_dir(t.spark, "chunks")

@@ -96,7 +96,8 @@ def vocabulary(t: Tables) -> DataFrame:
 @query("largest_vocabulary", with_sql([ARTICLES_SQL, VOCABULARY_SQL], """
 SELECT token, n, token_id FROM vocabulary WHERE token_id < 504"""))
 def largest_vocabulary(t: Tables) -> DataFrame:
-    return E.vocabulary(E.word_counts(t.texts(), "title", "abstract"), max_size=500)
+    """From the most frequent words alone; the tail is not counted."""
+    return E.vocabulary(E.heaviest_words(t.texts(), "title", "abstract", size=500))
 
 
 @query("pair_encoding", with_sql([ARTICLES_SQL, VOCABULARY_SQL, citations_sql(), f"""lists AS (

@@ -1,15 +1,18 @@
-"""Code that users bring: aggregates over rows and table functions."""
+"""Code that users bring (aggregates over rows, table functions), and summaries that merge."""
 
 from __future__ import annotations
 
 import random
 import statistics
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 from sieve.functions.table_functions import register
+from sieve.operators import encoding as E
+from sieve.operators import sketches
 from sieve.operators import user_aggregate as U
+from sieve.operators.spool import new_dir
 from sieve.queries.learning import Distinct, Median
 
 SCHEMA = "topic string, grade int, n int, word string"
@@ -81,3 +84,27 @@ def test_table_function_over_groups(spark):
     for call in ("'nope', 'pid', 4", "'topic', 'pid', 0"):
         with pytest.raises(Exception, match="no column|above 0"):
             spark.sql(f"SELECT * FROM numbered_batches(TABLE(sieve_batches_in), {call})").collect()
+
+
+def test_sketches_of_chunks(spark):
+    path = new_dir(spark, "sketches")
+    chunk = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id % 30000 as string) as v", "case when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end as k")
+    for i, (lo, hi) in enumerate(((0, 20_000), (10_000, 40_000), (0, 500))):
+        sketches.add_chunk(chunk(lo, hi), path, i, "v", ["k"])
+    sketches.add_chunk(chunk(0, 500), path, 2, "v", ["k"])  # once more
+    got = {r["k"]: r["n"] for r in sketches.distinct_estimate(spark, path, ["k"]).collect()}
+    assert got.keys() == {"a", "b", None} and all(abs(n / 10_000 - 1) < 0.04 for n in got.values())
+    assert abs(sketches.distinct_estimate(spark, path).first()["n"] / 30_000 - 1) < 0.04
+    sketches.add_chunk(chunk(30_000, 30_000), path, 3, "v", ["k"])  # an empty one
+    assert abs(sketches.distinct_estimate(spark, path).first()["n"] / 30_000 - 1) < 0.04
+
+
+@pytest.mark.parametrize("tracked", [1 << 14, 64])
+def test_heaviest_words(spark, tracked):
+    draw = random.Random(3)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.9))}" for _ in range(60)) for _ in range(300)] + [None, ""]
+    counts = Counter(w for t in texts if t for w in t.split())
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:25]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    assert sorted((tuple(r) for r in E.heaviest_words(df, "text", size=25, tracked=tracked).collect()), key=lambda x: (-x[1], x[0])) == want
+    assert E.heaviest_words(df.limit(0), "text", size=5).count() == 0
