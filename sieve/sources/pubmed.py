@@ -22,11 +22,9 @@ _TAG = r"</?[A-Za-z][^<>]*>"
 def _text(inner: Column, compat: bool) -> Column:
     """Text of an element whose inner markup came as one string: up to the first child tag as
     ``compat``, otherwise all of it without the tags. Empty is null."""
-    if compat:
-        # (?s) lets the cut run over line ends; a decoded "<" that starts no tag stays.
-        inner = F.regexp_replace(inner, f"(?s){_TAG}.*$", "")
-    else:
-        inner = F.regexp_replace(inner, _TAG, "")
+    # (?s) lets the cut run over line ends; a decoded "<" that starts no tag stays. Most texts hold no "<" at all.
+    cut = F.regexp_replace(inner, f"(?s){_TAG}.*$", "") if compat else F.regexp_replace(inner, _TAG, "")
+    inner = F.when(inner.contains("<"), cut).otherwise(inner)
     return F.when(inner != "", inner)
 
 
