@@ -33,3 +33,16 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
         return pd.Series([len(texts)] * len(texts))
 
     assert long.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 17
+
+
+def test_rounds_of_runs_shuffle_no_text(spark, monkeypatch):
+    from sieve.operators import attribution as A
+    from tests.test_plans import plan
+
+    plans, write = [], A.spool
+    monkeypatch.setattr(A, "spool", lambda df, *more: plans.append(plan(df)) or write(df, *more))
+    rows = spark.createDataFrame([("t", "1", "a b c d e"), ("t", "1", "a b c d e"), (None, None, "a")], "topic_id string, pid string, text string")
+    runs = A.run_attributions(rows, F.udf(lambda t: float(len(t)), "double"), rounds=2, width=2)
+    assert sorted((r["pid"] or "", r["lo"], r["hi"]) for r in runs.collect()) == sorted(
+        [("1", a, b) for a, b in ((0, 1), (1, 2), (2, 3), (3, 5)) for _ in range(2)] + [("", 0, 1)])
+    assert plans and not any("Exchange" in p or "Join" in p for p in [*plans, plan(runs)])
