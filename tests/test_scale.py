@@ -46,3 +46,32 @@ def test_rounds_of_runs_shuffle_no_text(spark, monkeypatch):
     assert sorted((r["pid"] or "", r["lo"], r["hi"]) for r in runs.collect()) == sorted(
         [("1", a, b) for a, b in ((0, 1), (1, 2), (2, 3), (3, 5)) for _ in range(2)] + [("", 0, 1)])
     assert plans and not any("Exchange" in p or "Join" in p for p in [*plans, plan(runs)])
+
+
+def test_state_is_read_and_written_once_per_call():
+    from pyspark.sql import Row
+
+    from sieve.streaming.open_verdicts import OpenVerdicts
+
+    calls = []
+
+    class State(dict):
+        def __init__(self):
+            store = {
+                "get": lambda: self[None] if None in self else None, "exists": lambda: None in self, "iterator": lambda: iter([*self.items()]),
+                "update": lambda v: self.__setitem__(None, v), "updateValue": self.__setitem__, "getValue": self.__getitem__,
+                "containsKey": self.__contains__, "removeKey": self.__delitem__, "clear": super().clear,
+            }
+            for name, does in store.items():
+                setattr(self, name, lambda *args, name=name, does=does: calls.append(name) or does(*args))
+
+    made = OpenVerdicts(None)
+    made.place, made.open = State(), State()
+    events = [Row(topic_id="t", article_id=f"a{i % 3}", verdict="Relevant", micros=i, event_id=i) for i in range(500)]
+    out = list(made.handleInputRows(("r",), iter(reversed(events)), None))
+    assert len(calls) <= 6 and {k: v[1] for k, v in made.open.items()} == {("a0",): 498, ("a1",): 499, ("a2",): 497}
+    assert [r["step"] for r in out] == list(range(1, 501))
+    calls.clear()
+    out = list(made.handleInputRows(("r",), iter([Row(topic_id="u", article_id=None, verdict="Irrelevant", micros=600, event_id=0)]), None))
+    assert len(calls) <= 5 and [(r["change"], r["topic_id"], r["ts"]) for r in out] == [("clear", "u", 499), ("set", "u", 600)]
+    assert dict(made.open) == {(None,): ("Irrelevant", 600, 0)}
