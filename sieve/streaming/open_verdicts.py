@@ -71,7 +71,7 @@ class OpenVerdicts(StatefulProcessor):
                 step += 1
                 out.append(_CHANGED(key[0], "set", topic, article, verdict, *now, step))
         self.place.update((topic, *top, *left, step))
-        if stored and not known:
+        if stored and not stored.keys() & known.keys():
             self.open.clear()
         else:
             for article in stored.keys() - known.keys():
