@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieve.functions import text as X
-from sieve.functions.table_functions import register
+from sieve.functions.table_functions import parted, register
 from sieve.operators import encoding as E
 from sieve.operators.corpus import model_input, screenable
 from sieve.operators.profile import length_percentiles
 from sieve.operators.ranking import batched
+from sieve.operators.spool import spool
 from sieve.queries.base import ARTICLES_SQL, Tables, citations_sql, query, rounded, tokens_sql, with_sql
 
 VOCABULARY_SQL = f"""words AS (
@@ -204,6 +205,6 @@ def sql_table_functions(t: Tables) -> DataFrame:
     lines = t.spark.sql("""
         SELECT lang, pid, line_no, line, md5(concat(pid, ':', line_no)) AS place
         FROM sieve_texts, LATERAL split_text(abstract, chr(10), 'line')""")
-    lines.createOrReplaceTempView("sieve_lines")
-    found = t.spark.sql("SELECT * FROM numbered_batches(TABLE(sieve_lines), 'lang', 'place', 16)")
+    parted(spool(lines, "lines", "zstd").df, "lang", "place").createOrReplaceTempView("sieve_lines")
+    found = t.spark.sql("SELECT * FROM numbered_batches(TABLE(sieve_lines), 'lang', 'place', 16, 'part', 'before')")
     return found.select("lang", "pid", "line_no", F.md5("line").alias("line_md5"), "batch_id", "row_in_batch")

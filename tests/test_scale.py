@@ -75,3 +75,21 @@ def test_state_is_read_and_written_once_per_call():
     out = list(made.handleInputRows(("r",), iter([Row(topic_id="u", article_id=None, verdict="Irrelevant", micros=600, event_id=0)]), None))
     assert len(calls) <= 5 and [(r["change"], r["topic_id"], r["ts"]) for r in out] == [("clear", "u", 499), ("set", "u", 600)]
     assert dict(made.open) == {(None,): ("Irrelevant", 600, 0)}
+
+
+def test_batches_of_one_group_are_numbered_by_many_tasks(spark):
+    from sieve.functions.table_functions import parted, register
+
+    register(spark)
+    rows = spark.range(1000).selectExpr("case when id % 10 = 0 then null else 'g' end as topic", "md5(cast(id as string)) as place", "id")
+    parted(rows, "topic", "place", 1).createOrReplaceTempView("sieve_parted")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts would be put together
+    try:
+        out = spark.sql("SELECT * FROM numbered_batches(TABLE(sieve_parted), 'topic', 'place', 16, 'part', 'before')")
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 1000 and len({r["task"] for r in got if r["topic"] == "g"}) > 1
+    for topic in ("g", None):
+        mine = sorted((r for r in got if r["topic"] == topic), key=lambda r: r["place"])
+        assert [(r["batch_id"], r["row_in_batch"]) for r in mine] == [divmod(i, 16) for i in range(len(mine))]
