@@ -93,3 +93,31 @@ def test_batches_of_one_group_are_numbered_by_many_tasks(spark):
     for topic in ("g", None):
         mine = sorted((r for r in got if r["topic"] == topic), key=lambda r: r["place"])
         assert [(r["batch_id"], r["row_in_batch"]) for r in mine] == [divmod(i, 16) for i in range(len(mine))]
+
+
+def test_explanations_shuffle_no_words_with_places(spark, monkeypatch):
+    """With a model too large to broadcast, a word that repeats is one row, and copies keep their own explanation."""
+    from sieve.operators import attribution as A
+    from sieve.operators.model import train_token_model
+
+    kind = "topic_id string, pid string, title string, abstract string"
+    train = spark.createDataFrame([("t", "1", "a b", "c", 1), ("t", "2", "d", "a", 0)], kind + ", relevance int")
+    model = train_token_model(train)
+    rows = spark.createDataFrame(
+        [("t", "1", "A b!", "a a A"), ("t", "1", "A b!", "a a A"), ("t", "1", None, "b"), (None, None, "a", None), ("t", "3", None, "")], kind)
+    seen, weigh = [], A.weigh
+    monkeypatch.setattr(A, "weigh", lambda long, *more, **named: seen.append(long.count()) or weigh(long, *more, **named))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        got = A.explanation_records(rows, model).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert seen == [3 + 3 + 1 + 1]  # different words of each article, not 6 + 6 + 1 + 1 tokens
+    weight = {r["token"]: r["weight"] for r in model.weights.df.collect()}
+    by = sorted(got, key=lambda r: (r["pid"] or "", r["title"] or ""))
+    assert [(r["pid"], r["title_expl"] and r["title_expl"]["tokens"], r["abstract_expl"] and r["abstract_expl"]["tokens"]) for r in by] == [
+        (None, ["a"], []), ("1", [], ["b"]), ("1", ["A", "b", "!"], ["a", "a", "A"]), ("1", ["A", "b", "!"], ["a", "a", "A"]), ("3", None, None)]
+    for r in by[2:4]:
+        assert [s[1] for s in r["title_expl"]["scores"]] == [weight["a"], weight["b"], 0.0]
+        assert [s[1] for s in r["abstract_expl"]["scores"]] == [weight["a"]] * 3
+    assert [r["verdict"] for r in by] == ["Error", *[r["verdict"] for r in by[1:]]]
