@@ -87,22 +87,27 @@ def fit(
     own = ["_row", "_y", "_c", "_n", "_curve"]  # written with the cells, so the number stays
     data = spool(cells(rows, text, numeric, [*own, "_g"]).withColumnRenamed("_g", "g"), "cells").df
     zero = F.lit(0.0)
-    first = spool(data.groupBy("g", "token").agg(F.count("*").alias("n")).select(
-        "g", "token", "n", zero.alias("w"), zero.alias("step"), zero.alias("gradient")), "weights")
+    first = spool(data.groupBy("g", "token").agg(F.count("*").alias("n"), F.max("_curve").alias("_curve")).select(
+        F.monotonically_increasing_id().alias("id"), "g", "token", "n", "_curve",
+        zero.alias("w"), zero.alias("step"), zero.alias("gradient")), "weights")
+    # Weights get numbers once, so that no epoch compares, sorts or shuffles tokens.
+    names = Spooled(first.df.select("g", "token", "id", F.col("n").alias("_cells")), first.path, first.bytes)
+    numbered = lookup(data, names, ["g", "token"], "inner", spread="_row", weight="_cells")
+    data = spool(numbered.select("_row", "id", "v", "_y", "_c", "_n", (F.col("token") == INTERCEPT).alias("_one")), "numbered").df
     state, losses, epoch = first, [], 0
     row = Window.partitionBy("_row")  # the tokens of one text
     while epoch < epochs:
-        weighed = lookup(data, state, ["g", "token"], "inner", spread="_row", weight="n")
+        own = Spooled(state.df.select("id", "w", F.col("n").alias("_cells")), state.path, state.bytes)
+        weighed = lookup(data, own, ["id"], "inner", spread="_row", weight="_cells").drop("_cells")
         weighed = weighed.withColumn("z", F.sum(F.col("v") * F.col("w")).over(row))
         residual = F.col("_c") * (sigmoid(F.col("z")) - F.col("_y")) / F.col("_n")
         entropy = F.log1p(F.exp(-F.abs("z"))) + F.greatest("z", F.lit(0.0)) - F.col("_y") * F.col("z")
         # The cell of the intercept is there once for each row, so it carries the row's loss.
-        loss = F.sum(F.when(F.col("token") == INTERCEPT, F.col("_c") * entropy / F.col("_n"))).alias("loss")
-        same = [F.max(x).alias(x) for x in ("n", "w", "step", "gradient", "_curve")]  # one value per weight
-        pulled = weighed.groupBy("g", "token").agg(F.sum(F.col("v") * residual).alias("pull"), loss, *same)
+        loss = F.sum(F.when(F.col("_one"), F.col("_c") * entropy / F.col("_n"))).alias("loss")
+        pulled = weighed.groupBy("id").agg(F.sum(F.col("v") * residual).alias("pull"), loss).join(state.df, "id")  # one row per weight on both sides
         slope = F.col("pull") + F.lit(penalty) * F.col("w")
         tried = spool(pulled.select(
-            "g", "token", "n", "w", "step", F.col("gradient").alias("old"), slope.alias("gradient"), "_curve", "loss"), "tried")
+            "id", "g", "token", "n", "w", "step", F.col("gradient").alias("old"), slope.alias("gradient"), "_curve", "loss"), "tried")
         losses.append(tried.df.filter(F.col("token") == INTERCEPT).select("g", F.lit(epoch).alias("epoch"), "loss"))
         step = F.col("step")
         dots = tried.df.groupBy("g").agg(
@@ -110,7 +115,7 @@ def fit(
         )
         rate = dots.select("g", F.when(F.col("sy") > 0, F.col("ss") / F.col("sy")).otherwise(1 / F.col("_curve")).alias("rate"))
         after = lookup(tried.df, rate, ["g"], "inner", spread="token").withColumn("step", -F.col("rate") * F.col("gradient"))
-        after = after.select("g", "token", "n", (F.col("w") + F.col("step")).alias("w"), "step", "gradient")
+        after = after.select("id", "g", "token", "n", "_curve", (F.col("w") + F.col("step")).alias("w"), "step", "gradient")
         state = Spooled(after, tried.path, tried.bytes)
         epoch += 1
         if tolerance and epoch % _LOOK == 0 and (tried.df.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) <= tolerance:

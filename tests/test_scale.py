@@ -121,3 +121,15 @@ def test_explanations_shuffle_no_words_with_places(spark, monkeypatch):
         assert [s[1] for s in r["title_expl"]["scores"]] == [weight["a"], weight["b"], 0.0]
         assert [s[1] for s in r["abstract_expl"]["scores"]] == [weight["a"]] * 3
     assert [r["verdict"] for r in by] == ["Error", *[r["verdict"] for r in by[1:]]]
+
+
+def test_epochs_carry_no_tokens(spark, monkeypatch):
+    from sieve.operators import linear
+
+    seen, lookup = [], linear.lookup
+    monkeypatch.setattr(linear, "lookup", lambda rows, dim, on, *more, **named: seen.append((on, rows.columns)) or lookup(rows, dim, on, *more, **named))
+    rows = spark.createDataFrame([("t", "a b", 1), ("t", "c", 0), ("u", "a", 1), (None, None, 0)], "topic_id string, text string, relevance int")
+    fitted = linear.fit(rows, epochs=3, tolerance=0)
+    epochs = [columns for on, columns in seen if on == ["id"]]
+    assert len(epochs) == 3 and not any({"g", "token"} & set(c) for c in epochs)
+    assert fitted.weights.df.count() == len(fitted.weights.df.select("g", "token").distinct().collect()) == 4 + 2 + 1
