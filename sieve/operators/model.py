@@ -73,9 +73,13 @@ def units(value: Column) -> Column:
     return F.round(value * _UNIT).cast("bigint")
 
 
+def from_units(whole: Column) -> Column:
+    return whole / _UNIT
+
+
 def exact_sum(value: Column, n: Column | int = 1) -> Column:
     """The sum of ``n`` times a weight."""
-    return F.sum(units(value) * n) / _UNIT
+    return from_units(F.sum(units(value) * n))
 
 
 def weigh(tokens: DataFrame, model: TokenModel, key: Column | None = None, spread: str = "pid") -> DataFrame:

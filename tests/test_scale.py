@@ -123,6 +123,41 @@ def test_explanations_shuffle_no_words_with_places(spark, monkeypatch):
     assert [r["verdict"] for r in by] == ["Error", *[r["verdict"] for r in by[1:]]]
 
 
+def test_explanations_shuffle_a_word_once_per_block(spark, monkeypatch):
+    """A model within the broadcast limit shuffles no words at all; of a larger one, articles share the words of their block."""
+    from sieve.operators import attribution as A
+    from sieve.operators.model import train_token_model
+
+    train = spark.createDataFrame(
+        [("t", "1", "a b", "c", 1), ("t", "2", "d", "a", 0), ("u", "3", "a", "e", 1), ("u", "4", "f", "", 0)],
+        "topic_id string, pid string, title string, abstract string, relevance int")
+    model = train_token_model(train)
+    rows = spark.range(1000, numPartitions=1).selectExpr(
+        "case when id % 10 = 0 then null when id % 3 = 0 then 'u' else 't' end as topic_id", "cast(id div 2 as string) as pid",
+        "case when id % 7 > 0 then 'A, b' end as title", "case when id % 5 > 0 then concat('a D x', id % 4) when id % 2 = 0 then '' end as abstract")
+    seen, written, weigh, write = [], [], A.weigh, A.spool
+    monkeypatch.setattr(A, "weigh", lambda long, *more, **named: seen.append(long.count()) or weigh(long, *more, **named))
+    monkeypatch.setattr(A, "spool", lambda df, *more: written.append(df.columns) or write(df, *more))
+    small = A.explanation_records(rows, model).collect()
+    assert not seen and not written
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        large = A.explanation_records(rows, model).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert sorted(map(str, small)) == sorted(map(str, large)) and len(small) == 1000
+    words_of_topics = 3 * 8  # a b , d x0 x1 x2 x3
+    assert len(seen) == 1 and seen[0] <= (4 * spark.sparkContext.defaultParallelism + 2) * words_of_topics < 1000
+    weight = {(r["topic_id"], r["token"]): r["weight"] for r in model.weights.df.collect()}
+    prior = {r["topic_id"]: r["prior"] for r in model.priors.collect()}
+    for r in large:
+        parts = [(w, s) for x in (r["title_expl"], r["abstract_expl"]) if x for w, s in zip(x["tokens"], x["scores"], strict=True)]
+        assert [w for w, _ in parts] == (["A", ",", "b"] if r["title"] else []) + (r["abstract"] or "").split()
+        assert [s for _, s in parts] == [[-v, v] for v in (weight.get((r["topic_id"], w.lower()), 0.0) for w, _ in parts)]
+        logit = prior[r["topic_id"]] + sum(s[1] for _, s in parts) if r["topic_id"] else None
+        assert r["verdict"] == ("Error" if logit is None else "Relevant" if logit > -1e-9 else "Irrelevant")
+
+
 def test_epochs_carry_no_tokens(spark, monkeypatch):
     from sieve.operators import linear
 
